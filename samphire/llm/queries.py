@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samphire.llm import media, secret_scan, simhash, token_counts
+from samphire.llm import media, mixing, neighbours, secret_scan, simhash, token_counts
 
 #: op7: documents above this many tokens are over the limit.
 TOKEN_LIMIT = 512
@@ -37,11 +37,22 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(docs, secret_scan.train(docs)))
 
 
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return mixing.mix(_table(spark, sf_dir, "documents"), labels)
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), "__id % 20 = 0", k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_mixing_sources": op8_mixing_sources,
     "op9_secret_scans": op9_secret_scans,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_mixing_sources": mixing.SQL}

@@ -17,67 +17,23 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from samphire.llm.array_bpe import byte_symbols, merge, pair_table
 from samphire.llm.common import map_text, text_chunks
 
-NO_RANK = np.iinfo(np.int32).max
 #: Distinct pre-tokens whose counts a worker keeps; further ones are counted again in each chunk.
 KEPT = 400_000
 #: The split pattern of the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
-
-
-class PairTable:
-    """Open-addressed table from a pair of symbols to (rank, merged symbol), looked up for whole arrays."""
-
-    BITS = 19
-
-    def __init__(self, pairs: np.ndarray, merged: np.ndarray):
-        self.keys = np.full(1 << self.BITS, -1, np.int64)
-        self.rank = np.full(1 << self.BITS, NO_RANK, np.int32)
-        self.merged = np.zeros(1 << self.BITS, np.int32)
-        left, at = np.arange(len(pairs)), self._slot(pairs)
-        while len(left):
-            free = self.keys[at] < 0
-            _, first = np.unique(at[free], return_index=True)
-            won = np.flatnonzero(free)[first]
-            self.keys[at[won]], self.rank[at[won]], self.merged[at[won]] = pairs[left[won]], left[won], merged[left[won]]
-            lost = np.ones(len(left), bool)
-            lost[won] = False
-            left, at = left[lost], (at[lost] + 1) & ((1 << self.BITS) - 1)
-
-    def _slot(self, pairs: np.ndarray) -> np.ndarray:
-        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def slots(self, pairs: np.ndarray) -> np.ndarray:
-        """The slot that holds each pair, or an empty slot, whose rank is NO_RANK."""
-        at = self._slot(pairs)
-        open_ = np.flatnonzero((self.keys[at] != pairs) & (self.keys[at] >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.BITS) - 1)
-            held = self.keys[at[open_]]
-            open_ = open_[(held != pairs[open_]) & (held >= 0)]
-        return at
-
-
 class ArrayBpe:
     """Counts tokens as the tokenizers library gives them for a byte-level BPE file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
-        vocab = told["model"]["vocab"]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
-        left = np.array([vocab[a] for a, _ in merges], np.int64)
-        right = np.array([vocab[b] for _, b in merges], np.int64)
-        self.table = PairTable(left << 20 | right, np.array([vocab[a + b] for a, b in merges], np.int32))
-        self.first = np.array([vocab[s] for s in byte_symbols()], np.int32)
+        self.table = pair_table(told["model"])
+        self.first = np.array([told["model"]["vocab"][s] for s in byte_symbols()], np.int32)
         self.pieces = regex.compile(PIECES)
         special = sorted((t["content"] for t in told.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -96,31 +52,8 @@ class ArrayBpe:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         symbols = self.first[np.frombuffer(b"".join(raw), np.uint8)]
-        owner = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
-        out = sizes.copy()
-        while len(symbols) > 1:
-            pairs = symbols[:-1].astype(np.int64) << 20 | symbols[1:]
-            slots = self.table.slots(pairs)
-            rank = np.where(owner[1:] == owner[:-1], self.table.rank[slots], NO_RANK)
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            lowest = np.minimum.reduceat(np.r_[rank, NO_RANK], starts)
-            lengths = np.diff(np.r_[starts, len(symbols)])
-            done = lowest == NO_RANK
-            out[owner[starts[done]]] = lengths[done]
-            hit = (rank == np.repeat(lowest, lengths)[:-1]) & (rank != NO_RANK)
-            # of equal pairs that overlap (x x x) every second one merges, from the left
-            run = np.flatnonzero(hit)
-            if len(run):
-                heads = np.r_[True, (np.diff(run) != 1) | (rank[run[1:]] != rank[run[:-1]])]
-                since = np.arange(len(run)) - np.maximum.accumulate(np.where(heads, np.arange(len(run)), 0))
-                run = run[since % 2 == 0]
-            symbols[run] = self.table.merged[slots[run]]
-            keep = ~np.repeat(done, lengths)
-            keep[run + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
-        if len(symbols):
-            out[owner] = 1
-        return out
+        _, owner = merge(symbols, np.repeat(np.arange(len(raw), dtype=np.int32), sizes), self.table)
+        return np.bincount(owner, minlength=len(raw))
 
     def count(self, texts: list[str]) -> list[int]:
         split = [self.split(text) for text in texts]
@@ -130,8 +63,8 @@ class ArrayBpe:
             fresh = dict(zip(words, self.merged_counts(words).tolist(), strict=True))
             if len(self.known) < KEPT:
                 self.known.update(fresh)
-        known, get = self.known, fresh.get
-        return [sum(known[w] if w in known else get(w) for w in words) + extra for words, extra in split]
+        # what was learned just now may not be kept: look there first
+        return [sum(fresh[w] if w in fresh else self.known[w] for w in words) + extra for words, extra in split]
 
 
 @functools.lru_cache(maxsize=2)

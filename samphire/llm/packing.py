@@ -80,7 +80,7 @@ class WordTokenizer:
         return low.split()
 
     def _learn(self, fresh: list[str]) -> None:
-        pieces = [self.pieces.findall(run) for run in fresh]
+        pieces = [[run] if run.isalpha() else self.pieces.findall(run) for run in fresh]
         raw = [p.encode("utf-8", "surrogatepass") for own in pieces for p in own]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -100,12 +100,14 @@ class WordTokenizer:
         split = [self.runs(t) for t in texts]
         everything = [w for runs in split if runs for w in runs]
         before = len(self.known)
-        found = list(map(self.known.get, everything))
-        fresh = list(dict.fromkeys(w for w, at in zip(everything, found, strict=True) if at is None))
+        at = np.array(list(map(self.known.get, everything)), np.float64)  # NaN: not known yet
+        missed = np.flatnonzero(np.isnan(at))
+        words = [everything[i] for i in missed.tolist()]
+        fresh = list(dict.fromkeys(words))
         if fresh:
             self._learn(fresh)
-            found = [self.known[w] if at is None else at for w, at in zip(everything, found, strict=True)]
-        at = np.array(found, np.int64)
+            at[missed] = [self.known[w] for w in words]
+        at = at.astype(np.int64)
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]

@@ -59,8 +59,9 @@ def mix(
     limit: float = 3.0,
     quality_weights: tuple[float, float, float] = (0.5, 1.0, 2.0),
     seed: str = "mix",
+    carry: tuple[str, ...] | list[str] = (),
 ) -> DataFrame:
-    """(id, size, source_size, target, taken) of every document.
+    """(id, size, source_size, target, taken) and the ``carry`` columns of every document.
 
     ``size``: words of the text, 0 if it is null. ``taken``: words that the mix takes, repeats counted: epochs * size,
     and in the last, partial epoch the whole size below the budget, and of the one document that crosses it the part
@@ -70,7 +71,7 @@ def mix(
     """
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))))
-    sized = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), (-F.ln(uniform(draw))).alias("__exp"))
+    sized = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), (-F.ln(uniform(draw))).alias("__exp"), *carry)
     sized = cut_lineage(sized)
     if quality is None:
         keyed = sized.withColumn("__key", F.col("__exp") / quality_weights[1])
@@ -94,7 +95,7 @@ def mix(
     placed = binned.withColumn("__earlier", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(sums, (F.col("source_no") == F.col("__n")) & (F.col("__bin") == F.col("__b")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__before") - F.col("__earlier")))
-    return placed.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"), *carry)
 
 
 #: DuckDB's SQL for ``mix`` over documents and labels with the default parameters.

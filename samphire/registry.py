@@ -1,4 +1,453 @@
-"""The registered queries of the tag-health operators and their SQL."""
+"""The registered queries of the tag-health operators over the star-schema tables, and their SQL for DuckDB.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Order baskets are the samples with small tag sets (words of a part's name and type), documents those with long ones.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from samphire.config import DuplicateOptions, MetricsOptions, NormalizationRules
+from samphire.functions import text
+from samphire.operators import duplicates, graph, metrics, normalize, recommend
+from samphire.operators import frequency as counts
+from samphire.plans.report import metrics_report
+from samphire.sources import scan
+from samphire.sources.rules import Condition, Rule
+from samphire.streaming.counts import windowed_tag_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+TARGET = {"economy": 3.0, "small": 1.0, "standard": 2.0, "unseen": 1.0}
+RULES = NormalizationRules(" ", ("#", "_", "-"), {"Economy": "eco", "brand 11": "house"}, ("promo", "brand-12"))
+EDGE, SUPPORT, LIMIT = 4000, 2, 15
+BANDS = DuplicateOptions(8, 10)
+ADVICE = [
+    Rule("broad", "Many tags in use.", "Info", (Condition("uniqueTagCount", "GreaterThan", 10.0), Condition("topKMass:1", "LessThan", 0.5))),
+    Rule("drift", "Far from the target.", "Warning", (Condition("jsdToTarget", "GreaterThanOrEqual", 0.01),)),
+    Rule("empty", "Always.", "Info"),
+    Rule("huge", "Never at this size.", "Critical", (Condition("sampleCount", "LessThan", 1.0),)),
+    Rule("unknown", "No such signal.", "Info", (Condition("noSuchSignal", "GreaterThan", 0.0),)),
+]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, tags): lower-case words of the names and types of an order's parts."""
+    words = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")
+    parts = table(spark, sf_dir, "part").select("p_partkey", words.alias("w"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.flatten(F.collect_list("w")).alias("tags"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, tags): lower-case words of documents."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.split(F.lower("text"), " ").alias("tags"))
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def register(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return register
+
+
+TOK = """tok AS (
+  SELECT l_orderkey AS sample_id, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS tag
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+freq AS (SELECT tag, count(*) AS n FROM tok GROUP BY tag),
+ids AS (SELECT count(DISTINCT sample_id) AS samples FROM tok),
+uniq AS (SELECT DISTINCT sample_id, tag FROM tok),
+docs AS (SELECT tag, count(*) AS df FROM uniq GROUP BY tag),
+pairs AS (SELECT a.tag AS l, b.tag AS r, count(*) AS c FROM uniq a JOIN uniq b ON a.sample_id = b.sample_id AND a.tag < b.tag GROUP BY 1, 2)"""
+WORDS = """tok AS (SELECT doc_id AS sample_id, unnest(string_split(lower(text), ' ')) AS tag FROM documents),
+freq AS (SELECT tag, count(*) AS n FROM tok GROUP BY tag)"""
+REACH = f"""edges AS (SELECT l AS a, r AS b FROM pairs WHERE c >= {EDGE} UNION SELECT r, l FROM pairs WHERE c >= {EDGE}),
+reach(node, other) AS (SELECT a, a FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+comps AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+
+@query(f"WITH {TOK} SELECT tag, CAST(n AS BIGINT) AS n FROM freq")
+def tag_frequency(spark, sf_dir):
+    return counts.term_frequency(baskets(spark, sf_dir))
+
+
+@query(f"WITH {WORDS} SELECT tag, CAST(n AS BIGINT) AS n FROM freq")
+def word_frequency(spark, sf_dir):
+    return counts.term_frequency(documents(spark, sf_dir))
+
+
+@query(f"WITH {TOK} SELECT tag, CAST(df AS BIGINT) AS df FROM docs")
+def doc_frequency(spark, sf_dir):
+    return counts.document_frequency(baskets(spark, sf_dir))
+
+
+@query(f"WITH {TOK} SELECT tag, CAST(n AS BIGINT) AS n, round(n / (SELECT CAST(sum(n) AS DOUBLE) FROM freq), 6) AS p FROM freq")
+def tag_probabilities(spark, sf_dir):
+    return counts.probabilities(counts.term_frequency(baskets(spark, sf_dir))).withColumn("p", F.round("p", 6))
+
+
+@query(f"WITH {TOK} SELECT CAST(samples AS BIGINT) AS sample_count, CAST((SELECT count(*) FROM tok) AS BIGINT) AS token_count FROM ids")
+def sample_token_counts(spark, sf_dir):
+    return counts.sample_counts(baskets(spark, sf_dir))
+
+
+CONCENTRATION = """SELECT CAST(sum(n) AS BIGINT) AS token_count, count(*) AS unique_tag_count,
+  round(ln(sum(n)::DOUBLE) - sum(n * ln(n::DOUBLE)) / sum(n)::DOUBLE, 6) AS entropy,
+  round(sum(n::DOUBLE * n) / (sum(n)::DOUBLE * sum(n)::DOUBLE), 6) AS hhi,
+  round(exp(ln(sum(n)::DOUBLE) - sum(n * ln(n::DOUBLE)) / sum(n)::DOUBLE), 4) AS effective_tag_count FROM freq"""
+
+
+def _rounded(frame: DataFrame) -> DataFrame:
+    return frame.select("token_count", "unique_tag_count", F.round("entropy", 6).alias("entropy"), F.round("hhi", 6).alias("hhi"), F.round("effective_tag_count", 4).alias("effective_tag_count"))
+
+
+@query(f"WITH {TOK} {CONCENTRATION}")
+def entropy_and_concentration(spark, sf_dir):
+    return _rounded(metrics.concentration(counts.term_frequency(baskets(spark, sf_dir))))
+
+
+@query(f"WITH {WORDS} {CONCENTRATION}")
+def word_concentration(spark, sf_dir):
+    return _rounded(metrics.concentration(counts.term_frequency(documents(spark, sf_dir))))
+
+
+GINI = "SELECT round((count(*) + 1 - 2 * sum(s) / max(t)) / count(*), 6) AS gini FROM (SELECT CAST(sum(n) OVER (ORDER BY n, tag ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS s, CAST(sum(n) OVER () AS DOUBLE) AS t FROM freq)"
+
+
+@query(f"WITH {TOK} {GINI}")
+def gini(spark, sf_dir):
+    return metrics.gini(counts.term_frequency(baskets(spark, sf_dir))).select(F.round("gini", 6).alias("gini"))
+
+
+@query(f"WITH {WORDS} {GINI}")
+def word_gini(spark, sf_dir):
+    return metrics.gini(counts.term_frequency(documents(spark, sf_dir))).select(F.round("gini", 6).alias("gini"))
+
+
+@query(
+    f"""WITH {WORDS}, ranked AS (SELECT n, row_number() OVER (ORDER BY n DESC, tag) AS rank FROM freq)
+SELECT k, round(coalesce(sum(CASE WHEN rank <= k THEN n END), 0) / CAST(sum(n) AS DOUBLE), 6) AS mass
+FROM ranked, (VALUES (CAST(0 AS INTEGER)), (1), (5), (10), (1000)) AS ks(k) GROUP BY k"""
+)
+def topk_mass(spark, sf_dir):
+    return metrics.top_k_mass(counts.term_frequency(documents(spark, sf_dir)), (10, 5, 1, 0, 1000, 5)).select("k", F.round("mass", 6).alias("mass"))
+
+
+TARGET_SQL = "target(tag, weight) AS (VALUES " + ", ".join(f"('{t}', {w}::DOUBLE)" for t, w in TARGET.items()) + ")"
+
+
+@query(
+    f"""WITH {TOK}, {TARGET_SQL}, pq AS (
+  SELECT coalesce(n, 0) / (SELECT CAST(sum(n) AS DOUBLE) FROM freq) AS p, coalesce(weight, 0) / (SELECT sum(weight) FROM target) AS q
+  FROM freq FULL JOIN target USING (tag))
+SELECT round(sum(CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END), 6) AS jsd FROM pq"""
+)
+def jsd(spark, sf_dir):
+    found = metrics.jensen_shannon(counts.term_frequency(baskets(spark, sf_dir)), metrics.target_frame(spark, TARGET))
+    return found.select(F.round("jsd", 6).alias("jsd"))
+
+
+@query(f"WITH {TOK}, {TARGET_SQL} SELECT tag FROM freq UNION SELECT tag FROM target")
+def union_keys(spark, sf_dir):
+    return counts.term_frequency(baskets(spark, sf_dir)).select("tag").union(metrics.target_frame(spark, TARGET).select("tag")).distinct()
+
+
+@query(
+    f"""WITH {WORDS}, docs AS (SELECT tag, count(DISTINCT sample_id) AS df FROM tok GROUP BY tag)
+SELECT tag, CAST(df AS BIGINT) AS document_frequency, round(ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)) + 1, 6) AS inverse_document_frequency
+FROM docs WHERE df >= 2 ORDER BY df DESC, tag LIMIT 25"""
+)
+def stop_tags(spark, sf_dir):
+    samples = documents(spark, sf_dir)
+    found = metrics.stop_tags(counts.document_frequency(samples), samples.count(), 2, 25)
+    return found.withColumn("inverse_document_frequency", F.round("inverse_document_frequency", 6))
+
+
+@query(f"WITH {TOK} SELECT l AS left_tag, r AS right_tag, CAST(c AS BIGINT) AS c FROM pairs WHERE c >= {SUPPORT}")
+def pair_counts(spark, sf_dir):
+    return counts.pair_counts(baskets(spark, sf_dir), min_support=SUPPORT).select(F.col("left").alias("left_tag"), F.col("right").alias("right_tag"), "c")
+
+
+@query(
+    f"""WITH {TOK}, scored AS (
+  SELECT l AS left_tag, r AS right_tag, CAST(c AS BIGINT) AS cooccurrence_count, log2((c * (SELECT samples FROM ids)::DOUBLE) / (a.df::DOUBLE * b.df)) AS pmi
+  FROM pairs JOIN docs a ON a.tag = l JOIN docs b ON b.tag = r WHERE c >= {SUPPORT})
+SELECT left_tag, right_tag, cooccurrence_count, round(pmi, 6) AS pmi FROM scored
+ORDER BY round(scored.pmi, 12) DESC, cooccurrence_count DESC, left_tag, right_tag LIMIT {LIMIT}"""
+)
+def pmi_top(spark, sf_dir):
+    samples = baskets(spark, sf_dir)
+    found = metrics.pointwise_mutual_information(counts.pair_counts(samples, min_support=SUPPORT), counts.document_frequency(samples), samples.count(), SUPPORT, LIMIT)
+    return found.withColumn("pmi", F.round("pmi", 6))
+
+
+@query(f"WITH RECURSIVE {TOK}, {REACH} SELECT node, component FROM comps")
+def community_components(spark, sf_dir):
+    pairs = counts.pair_counts(baskets(spark, sf_dir), min_support=EDGE)
+    return graph.connected_components(pairs.select(F.col("left").alias("src"), F.col("right").alias("dst")))
+
+
+@query(f"WITH RECURSIVE {TOK}, {REACH} SELECT count(DISTINCT component) AS community_count, round(coalesce(count(DISTINCT component) / nullif(count(*), 0)::DOUBLE, 0), 6) AS modularity_hint FROM comps")
+def community_hint(spark, sf_dir):
+    found = graph.community_hint(counts.pair_counts(baskets(spark, sf_dir), min_support=EDGE), EDGE)
+    return found.withColumn("modularity_hint", F.round("modularity_hint", 6))
+
+
+@query(
+    f"""WITH RECURSIVE {TOK}, {REACH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY node) AS k FROM comps)
+SELECT string_agg(node, ',' ORDER BY node) FILTER (WHERE k <= 5) AS preview, CAST(count(*) AS INTEGER) AS size FROM ranked GROUP BY component"""
+)
+def community_previews(spark, sf_dir):
+    found = graph.community_previews(counts.pair_counts(baskets(spark, sf_dir), min_support=EDGE), EDGE, 5)
+    return found.select(F.array_join("preview_tags", ",").alias("preview"), "size")
+
+
+@query(
+    """WITH g AS (SELECT sha256(text) AS k, count(*) AS c FROM documents GROUP BY 1)
+SELECT round(sum(CASE WHEN c > 1 THEN c ELSE 0 END)::DOUBLE / sum(c), 6) AS rate, round(sum(CASE WHEN c > 1 THEN c - 1 ELSE 0 END)::DOUBLE / sum(c), 6) AS redundant_copy_rate FROM g"""
+)
+def near_dup_rate(spark, sf_dir):
+    groups = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.sha2("text", 256).alias("group_key"))
+    return metrics.near_duplicate_rate(groups).select(F.round("rate", 6).alias("rate"), F.round("redundant_copy_rate", 6).alias("redundant_copy_rate"))
+
+
+@query(f"WITH {WORDS} SELECT round(sum(CASE WHEN length(tag) > 12 THEN n ELSE 0 END)::DOUBLE / sum(n), 6) AS overflow_rate FROM freq")
+def overflow_rate(spark, sf_dir):
+    return metrics.overflow_rate(counts.term_frequency(documents(spark, sf_dir)), 12).select(F.round("overflow_rate", 6).alias("overflow_rate"))
+
+
+@query(f"WITH {TOK} SELECT sample_id, count(DISTINCT tag) AS distinct_tags, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM tok GROUP BY sample_id")
+def distinct_tags_per_sample(spark, sf_dir):
+    listed = F.array_sort(F.array_distinct("tags"))
+    return baskets(spark, sf_dir).select("sample_id", F.size(listed).cast("long").alias("distinct_tags"), F.array_join(listed, ",").alias("tags"))
+
+
+def _part_tokens(spark, sf_dir):
+    tags = F.array(F.col("p_brand"), F.col("p_type"), F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("__"))))
+    return normalize.normalize(table(spark, sf_dir, "part").select("p_partkey", tags.alias("tags")), RULES)
+
+
+PART_TOKENS = """src AS (
+  SELECT p_partkey, unnest([0, 1, 2]) AS pos, unnest([p_brand, p_type, ' ' || replace(p_name, ' ', '__')]) AS original FROM part),
+folded AS (SELECT *, lower(original) AS f FROM src),
+unified AS (SELECT *, trim(regexp_replace(replace(replace(replace(trim(f), '#', ' '), '_', ' '), '-', ' '), ' {2,}', ' ', 'g')) AS u FROM folded),
+mapped AS (SELECT *, CASE u WHEN 'economy' THEN 'eco' WHEN 'brand 11' THEN 'house' ELSE u END AS m FROM unified),
+judged AS (SELECT *, m IN ('promo', 'brand 12') AS stopped FROM mapped)"""
+
+
+@query(f"WITH {PART_TOKENS} SELECT p_partkey, CAST(pos AS INTEGER) AS pos, original, CASE WHEN NOT stopped THEN m END AS normalized, stopped AS is_filtered FROM judged")
+def normalize_tokens(spark, sf_dir):
+    rows = _part_tokens(spark, sf_dir).select("p_partkey", F.posexplode("tokens").alias("pos", "t"))
+    return rows.select("p_partkey", "pos", "t.original", "t.normalized", "t.is_filtered")
+
+
+@query(
+    f"""WITH {PART_TOKENS}, events AS (
+  SELECT p_partkey, pos, 0 AS step, 'CaseFold' AS action, original AS before, f AS after, NULL AS told FROM judged UNION ALL
+  SELECT p_partkey, pos, 1, 'DelimiterNormalization', f, u, NULL FROM judged UNION ALL
+  SELECT p_partkey, pos, 2, 'AliasMapping', u, m, NULL FROM judged UNION ALL
+  SELECT p_partkey, pos, 3, 'StopTagFiltering', m, CASE WHEN NOT stopped THEN m END, CASE WHEN stopped THEN 'Filtered by stop-tag rule.' ELSE 'Token retained.' END FROM judged)
+SELECT p_partkey, CAST(pos AS INTEGER) AS pos, CAST(step AS INTEGER) AS step, action, before, after,
+  coalesce(told, CASE WHEN before = after THEN 'No change.' ELSE 'Transformed ''' || before || ''' to ''' || after || '''.' END) AS message FROM events"""
+)
+def normalize_audit(spark, sf_dir):
+    rows = _part_tokens(spark, sf_dir).select("p_partkey", F.posexplode("tokens").alias("pos", "t"))
+    rows = rows.select("p_partkey", "pos", F.posexplode("t.audit").alias("step", "e"))
+    return rows.select("p_partkey", "pos", "step", "e.action", "e.before", "e.after", "e.message")
+
+
+@query(f"WITH {PART_TOKENS} SELECT m AS tag, count(*) AS n FROM judged WHERE NOT stopped GROUP BY m")
+def normalized_frequency(spark, sf_dir):
+    return counts.term_frequency(_part_tokens(spark, sf_dir).select(F.col("normalized_tags").alias("tags")))
+
+
+WS = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(
+    rf"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '{WS}+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, md5(t) AS collapsed_md5, length(t) = 0 AS blank FROM c"""
+)
+def ws_collapse(spark, sf_dir):
+    t = text.collapse_white_space(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("collapsed_md5"), text.is_blank(t).alias("blank"))
+
+
+@query(r"SELECT doc_id, CAST(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS INTEGER) AS utf16_length FROM documents")
+def utf16_lengths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.utf16_length(F.col("text")).alias("utf16_length"))
+
+
+def _document_prints(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+
+
+@query(
+    """WITH g AS (SELECT sha256(text) AS sha256, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS paths FROM documents GROUP BY 1 HAVING count(*) > 1)
+SELECT 'exact-' || row_number() OVER (ORDER BY n DESC, sha256) AS group_id, sha256, paths FROM g"""
+)
+def exact_groups(spark, sf_dir):
+    return duplicates.exact_groups(_document_prints(spark, sf_dir)).withColumn("paths", F.array_join("paths", ","))
+
+
+def _vector_prints(spark, sf_dir):
+    """Signs of 40 components of embeddings as fingerprints; equal vectors count as equal files."""
+    bits = F.aggregate(F.transform(F.slice("embedding", 1, 40), lambda x: F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    return table(spark, sf_dir, "embeddings").select(F.format_string("v%07d", "vec_id").alias("path"), F.sha2(F.col("embedding").cast("string"), 256).alias("sha256"), bits.alias("phash"))
+
+
+PRINTS = f"""signs AS (SELECT printf('v%07d', vec_id) AS path, CAST(embedding AS VARCHAR) AS sha, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
+prints AS (SELECT path, sha, list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(s[1:32], lambda b: CASE WHEN b THEN CAST(1 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END)), lambda a, b: CAST(a * 2 + b AS UBIGINT)) AS hi,
+  list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(s[33:40], lambda b: CASE WHEN b THEN CAST(1 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END)), lambda a, b: CAST(a * 2 + b AS UBIGINT)) AS lo FROM signs),
+near AS (SELECT a.path AS left_path, b.path AS right_path, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS d
+  FROM prints a JOIN prints b ON a.path < b.path AND a.sha <> b.sha AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {BANDS.maybe_hamming_threshold}),
+findings AS (SELECT *, CASE WHEN d <= {BANDS.likely_hamming_threshold} THEN 'Likely' ELSE 'Maybe' END AS band FROM near)"""
+
+
+@query(f"WITH {PRINTS} SELECT left_path, right_path, d AS hamming_distance, band, round(1 - d / 64.0::DOUBLE, 6) AS score FROM findings")
+def near_findings(spark, sf_dir):
+    return duplicates.near_findings(_vector_prints(spark, sf_dir), BANDS).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH RECURSIVE {PRINTS},
+edges AS (SELECT left_path AS a, right_path AS b FROM findings WHERE band = 'Likely' UNION SELECT right_path, left_path FROM findings WHERE band = 'Likely'),
+reach(node, other) AS (SELECT a, a FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+comps AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+groups AS (SELECT component, string_agg(node, ',' ORDER BY node) AS paths, count(*) AS n FROM comps GROUP BY component),
+inside AS (SELECT a.component, f.band, f.d FROM findings f JOIN comps a ON a.node = left_path JOIN comps b ON b.node = right_path AND a.component = b.component)
+SELECT 'near-' || row_number() OVER (ORDER BY n DESC, g.component) AS group_id, paths, round(score, 6) AS score, likely_pair_count, maybe_pair_count
+FROM groups g JOIN (SELECT component, avg(1 - d / 64.0::DOUBLE) AS score, count(*) FILTER (WHERE band = 'Likely') AS likely_pair_count, count(*) FILTER (WHERE band = 'Maybe') AS maybe_pair_count FROM inside GROUP BY component) USING (component)"""
+)
+def near_groups(spark, sf_dir):
+    from samphire.checkpoints import cut_lineage
+
+    findings = cut_lineage(duplicates.near_findings(_vector_prints(spark, sf_dir), BANDS))
+    return duplicates.near_groups(findings).select("group_id", F.array_join("paths", ",").alias("paths"), F.round("score", 6).alias("score"), "likely_pair_count", "maybe_pair_count")
+
+
+def _caption_files(spark, sf_dir):
+    """Documents as caption files: four a base, one of each kind of ending, some of them blank."""
+    ending = F.element_at(F.array(*[F.lit(e) for e in (".booru.txt", ".tags.txt", ".caption.txt", ".txt", ".style.txt")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    body = F.when(F.col("doc_id") % 7 == 0, F.lit(" \n ")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("/d/"), F.floor(F.col("doc_id") / 5).cast("string"), ending).alias("path"), body.cast("binary").alias("content"))
+
+
+CAPTIONS = rf"""raw AS (SELECT '/d/' || CAST(doc_id // 5 AS VARCHAR) AS base, doc_id % 5 AS e, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text END AS t FROM documents),
+f AS (SELECT base, e, regexp_replace(regexp_replace(t, '^{WS}+|{WS}+$', '', 'g'), '{WS}+', ' ', 'g') AS t FROM raw),
+roles AS (SELECT base, e, t FROM f WHERE t <> '' UNION ALL SELECT base || CASE e WHEN 0 THEN '.booru' WHEN 1 THEN '.tags' WHEN 2 THEN '.caption' ELSE '.style' END, 3, t FROM f WHERE e <> 3 AND t <> ''),
+c AS (SELECT base, arg_min(t, e) FILTER (WHERE e IN (0, 1)) AS booru_tags, arg_min(t, e) FILTER (WHERE e IN (2, 3)) AS short_caption, max(t) FILTER (WHERE e = 4) AS style_tags FROM roles GROUP BY base)"""
+
+
+@query(f"WITH {CAPTIONS} SELECT base, md5(booru_tags) AS booru_tags, md5(short_caption) AS short_caption, md5(style_tags) AS style_tags FROM c")
+def caption_fallback(spark, sf_dir):
+    found = scan.captions(_caption_files(spark, sf_dir))
+    return found.select("base", *[F.md5(F.col(k).cast("binary")).alias(k) for k in scan.SIDECARS])
+
+
+def _image_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    images = docs.where(F.col("doc_id") % 5 == 0).select(F.concat(F.lit("/d/"), F.floor(F.col("doc_id") / 5).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit(".PNG")).otherwise(F.lit(".jpg"))).alias("path"), F.col("n_chars").cast("int").alias("width"), (F.col("doc_id") % 100).cast("int").alias("height"))
+    found = scan.with_captions(images, scan.captions(_caption_files(spark, sf_dir)))
+    return found.withColumnRenamed("path", "relative_image_path")
+
+
+IMAGES = f"""{CAPTIONS}, img AS (SELECT '/d/' || CAST(doc_id // 5 AS VARCHAR) AS base, CASE WHEN doc_id % 2 = 0 THEN '.png' ELSE '.jpg' END AS ext, n_chars AS w, doc_id % 100 AS h FROM documents WHERE doc_id % 5 = 0),
+rec AS (SELECT img.*, booru_tags IS NOT NULL AS b, short_caption IS NOT NULL AS s, style_tags IS NOT NULL AS y FROM img LEFT JOIN c USING (base))"""
+
+
+@query(f"WITH {IMAGES} SELECT count(*) AS total_images, count(*) FILTER (WHERE b) AS with_booru_tags, count(*) FILTER (WHERE s) AS with_short_caption, count(*) FILTER (WHERE y) AS with_style_tags, CAST(sum(w * h) AS BIGINT) AS total_pixels FROM rec")
+def scan_summary(spark, sf_dir):
+    return scan.summarize(_image_rows(spark, sf_dir)).drop("by_extension")
+
+
+@query(f"WITH {IMAGES} SELECT ext, count(*) AS n FROM rec GROUP BY ext")
+def ext_histogram(spark, sf_dir):
+    return scan.summarize(_image_rows(spark, sf_dir)).select(F.explode("by_extension").alias("ext", "n"))
+
+
+@query("SELECT page_id, md5(html) AS md5, sha256(html) AS sha256, '/' || split_part(url, '/', -1) AS tail FROM pages")
+def hash_projection(spark, sf_dir):
+    html = F.col("html").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(html).alias("md5"), F.sha2(html, 256).alias("sha256"), F.concat(F.lit("/"), F.element_at(F.split("url", "/"), -1)).alias("tail"))
+
+
+OPTIONS = MetricsOptions(target_distribution=TARGET, community_edge_weight_threshold=EDGE, max_pmi_anomalies=LIMIT, max_stop_tag_candidates=LIMIT, max_token_length=6)
+
+
+def _report(spark, sf_dir):
+    return metrics_report(baskets(spark, sf_dir), OPTIONS)
+
+
+SIGNALS = f"""{TOK}, {REACH}, {TARGET_SQL},
+pq AS (SELECT coalesce(n, 0) / (SELECT CAST(sum(n) AS DOUBLE) FROM freq) AS p, coalesce(weight, 0) / (SELECT sum(weight) FROM target) AS q FROM freq FULL JOIN target USING (tag)),
+con AS ({CONCENTRATION}), gin AS ({GINI}),
+ranked AS (SELECT n, row_number() OVER (ORDER BY n DESC, tag) AS rank FROM freq),
+signals(signal, value) AS (
+  SELECT 'sampleCount', samples::DOUBLE FROM ids UNION ALL
+  SELECT 'tokenCount', token_count::DOUBLE FROM con UNION ALL
+  SELECT 'uniqueTagCount', unique_tag_count::DOUBLE FROM con UNION ALL
+  SELECT 'entropy', entropy FROM con UNION ALL
+  SELECT 'effectiveTagCount', effective_tag_count FROM con UNION ALL
+  SELECT 'hhi', hhi FROM con UNION ALL
+  SELECT 'gini', gini FROM gin UNION ALL
+  SELECT 'jsdToTarget', sum(CASE WHEN p > 0 THEN 0.5 * p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(2 * q / (p + q)) ELSE 0 END) FROM pq UNION ALL
+  SELECT 'stopTagCandidatesCount', least({LIMIT}, count(*))::DOUBLE FROM docs WHERE df >= 2 UNION ALL
+  SELECT 'pmiAnomaliesCount', least({LIMIT}, count(*))::DOUBLE FROM pairs WHERE c >= {SUPPORT} UNION ALL
+  SELECT 'communityCount', count(DISTINCT component)::DOUBLE FROM comps UNION ALL
+  SELECT 'modularityHint', coalesce(count(DISTINCT component) / nullif(count(*), 0)::DOUBLE, 0) FROM comps UNION ALL
+  SELECT 'tokenLengthOverflowRate', sum(CASE WHEN length(tag) > 6 THEN n ELSE 0 END)::DOUBLE / sum(n) FROM freq UNION ALL
+  SELECT 'topKMass:' || k, sum(CASE WHEN rank <= k THEN n END)::DOUBLE / sum(n) FROM ranked, (VALUES (1), (5), (10)) AS ks(k) GROUP BY k)"""
+
+
+@query(f"WITH RECURSIVE {SIGNALS} SELECT signal, round(value, 4) AS value FROM signals")
+def report_signals(spark, sf_dir):
+    return recommend.report_signals(_report(spark, sf_dir)).select("signal", F.round("value", 4).alias("value"))
+
+
+@query(
+    f"""WITH RECURSIVE {SIGNALS}
+SELECT 'broad' AS rule_id, 'Info' AS severity, CAST(2 AS INTEGER) AS conditions WHERE (SELECT value FROM signals WHERE signal = 'uniqueTagCount') > 10 AND (SELECT value FROM signals WHERE signal = 'topKMass:1') < 0.5
+UNION ALL SELECT 'drift', 'Warning', 1 WHERE (SELECT value FROM signals WHERE signal = 'jsdToTarget') >= 0.01
+UNION ALL SELECT 'empty', 'Info', 0
+UNION ALL SELECT 'huge', 'Critical', 1 WHERE (SELECT value FROM signals WHERE signal = 'sampleCount') < 1"""
+)
+def recommend_matches(spark, sf_dir):
+    found = recommend.evaluate(recommend.report_signals(_report(spark, sf_dir)), recommend.rules_frame(spark, ADVICE))
+    return found.select("rule_id", "severity", F.size("conditions").alias("conditions"))
+
+
+@query(
+    f"""WITH RECURSIVE {SIGNALS} SELECT
+  CAST(max(CASE WHEN signal = 'sampleCount' THEN value END) AS BIGINT) AS sample_count, CAST(max(CASE WHEN signal = 'tokenCount' THEN value END) AS BIGINT) AS token_count,
+  CAST(max(CASE WHEN signal = 'uniqueTagCount' THEN value END) AS BIGINT) AS unique_tag_count, round(max(CASE WHEN signal = 'entropy' THEN value END), 6) AS entropy,
+  round(max(CASE WHEN signal = 'gini' THEN value END), 6) AS gini, round(max(CASE WHEN signal = 'hhi' THEN value END), 6) AS hhi,
+  round(max(CASE WHEN signal = 'jsdToTarget' THEN value END), 6) AS jsd, round(max(CASE WHEN signal = 'topKMass:5' THEN value END), 6) AS top_5_mass,
+  round(max(CASE WHEN signal = 'tokenLengthOverflowRate' THEN value END), 6) AS overflow_rate FROM signals"""
+)
+def metrics_report_summary(spark, sf_dir):
+    r = _report(spark, sf_dir)
+    six = lambda c, name: F.round(c, 6).alias(name)
+    return r.select("sample_count", "token_count", "unique_tag_count", six("entropy", "entropy"), six("gini", "gini"), six("hhi", "hhi"), six("jensen_shannon_divergence_to_target", "jsd"), six(F.col("top_k_mass")[5], "top_5_mass"), six("token_length_overflow_rate", "overflow_rate"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS tag, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_event_counts(spark, sf_dir):
+    return windowed_tag_counts(table(spark, sf_dir, "events"), "ts", "event_type").select(F.col("window.start").alias("window_start"), "tag", "n")
+
+
+QUERIES["metrics_report"] = metrics_report_summary
+ORACLES["metrics_report"] = ORACLES["metrics_report_summary"]

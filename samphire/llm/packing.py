@@ -36,7 +36,7 @@ APART = re.compile(r"(?<=[^\W_])([.,])(?=\s|\Z)")
 #: Where that doesn't hold for every point and comma before white space.
 RUN_ON = re.compile(r"[^\w\s][.,]\s")
 #: Distinct runs whose ids a worker keeps.
-KEPT = 600_000
+KEPT = 400_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 

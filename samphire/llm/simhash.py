@@ -58,7 +58,7 @@ def simhash(hashes: np.ndarray) -> np.ndarray:
 
 def mix(h: np.ndarray, salt: int) -> np.ndarray:
     """Another 64-bit hash of each hash."""
-    x = h ^ np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
+    x = np.asarray(h, np.uint64) ^ np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

@@ -25,7 +25,7 @@ TERM = re.compile(r"[^\W_]+")
 #: Bands of three min-hashes that find a training text's near copies.
 BANDS = 20
 #: Distinct terms whose slots a worker keeps.
-KEPT = 500_000
+KEPT = 200_000
 
 
 def terms(text: str | None) -> set[str]:
@@ -71,8 +71,8 @@ def family_keys(text: str | None) -> list[int]:
     hashes = np.unique(shingle_hashes(text, 3))
     if not len(hashes):
         return [0] * BANDS
-    least = [mix(hashes, salt).min() for salt in range(3 * BANDS)]
-    return [int(x) for x in np.array([mix(least[i] ^ mix(least[i + 1], 7) ^ mix(least[i + 2], 8), 9) for i in range(0, 3 * BANDS, 3)]).view(np.int64)]
+    least = np.array([mix(hashes, salt).min() for salt in range(3 * BANDS)]).reshape(BANDS, 3)
+    return mix(least[:, 0] ^ mix(least[:, 1], 7) ^ mix(least[:, 2], 8), 9).view(np.int64).tolist()
 
 
 def family_weights(keys: np.ndarray) -> np.ndarray:
@@ -111,8 +111,11 @@ def telling(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, least: fl
     return buckets[enough & (np.abs(deviate) > np.sqrt(2 * np.log(max(2, enough.sum()))) + 1)]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int, rounds: int, rate: float = 0.15, l2: float = 2e-5, seed: int = 5):
-    """(buckets, bias, weights, factors) of least logistic loss over the telling buckets, by AdaGrad on all rows at once."""
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int, rounds: int, rate: float = 0.3, l2: float = 3e-4, seed: int = 5):
+    """(buckets, bias, weights, factors) of least logistic loss over the telling buckets, by AdaGrad on all rows at once.
+
+    The penalty ``l2`` is on the factors alone: pairs explain what single terms can't.
+    """
     rng = np.random.default_rng(seed)
     active = telling(rows, y, weight)
     flat = np.concatenate(rows)
@@ -129,7 +132,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int, ro
         sums = np.stack([per(own[:, f], len(rows), owner) for f in range(rank)], axis=1)
         z = b + per(w[at], len(rows), owner) + 0.5 * ((sums**2).sum(axis=1) - per((own**2).sum(axis=1), len(rows), owner))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / weight.sum()
-        dw = per(g[owner], len(active), at) + l2 * w
+        dw = per(g[owner], len(active), at)
         dv = np.stack([per(g[owner] * (sums[owner, f] - own[:, f]), len(active), at) for f in range(rank)], axis=1) + l2 * v
         gw, gv, gb = gw + dw**2, gv + dv**2, gb + g.sum() ** 2
         w -= rate / np.sqrt(gw) * dw
@@ -138,7 +141,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int, ro
     return active, b, w, v
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, rank: int = 4, rounds: int = 400, seed: int = 5) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, rank: int = 4, rounds: int = 1500, seed: int = 5) -> FactorizationMachine:
     """Fit on a bounded sample: the ``sample_rows`` labelled ids of lowest hash, with their whole texts.
 
     A family of near copies weighs as much as one text, so that one wrong label isn't learned many times. Without labelled rows every text scores 0.
@@ -172,10 +175,10 @@ def score(docs: DataFrame, model: FactorizationMachine, carry: list[str] | None
     Null and empty texts, and texts without a known term, have the score of the bias alone. Repeated rows give a row
     each; ids, languages and sources play no part in a score; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        learned = shared.value
+        # a copy for each task: what it has looked up goes with the task
+        learned = FactorizationMachine(np.array(list(model.slot)), model.bias, model.weights, model.factors)
         return lambda texts: [pa.array([learned.score(t) for t in texts], pa.float64())]
 
     return map_text(docs, carry if carry is not None else ["doc_id"], [T.StructField(score_col, T.DoubleType())], make, text_col)

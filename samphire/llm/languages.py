@@ -50,7 +50,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class LanguageModel:
     """Trigram probabilities of the learned languages, and the inference."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, smoothing: float = 0.5, penalty: float = 6.0, rounds: int = 12):
+    def __init__(self, languages: list[str], counts: np.ndarray, smoothing: float = 0.5, penalty: float = 12.0, rounds: int = 12):
         self.languages, self.penalty, self.rounds = languages, penalty, rounds
         p = counts + smoothing
         self.table = np.ascontiguousarray((p / p.sum(axis=1, keepdims=True)).T.astype(np.float32))

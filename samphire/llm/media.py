@@ -52,7 +52,8 @@ def read_wav(stored: bytes) -> bytes:
 def spectrogram(samples: bytes, window: np.ndarray, block: int = 4096):
     """Magnitudes of half-overlapping frames, in blocks of frames, so that memory doesn't follow a file's length."""
     x = np.frombuffer(samples, np.uint8)
-    x = np.concatenate([x, np.full(-len(x) % FRAME, 128, np.uint8)])
+    silence = np.full(FRAME // 2, 128, np.uint8)
+    x = np.concatenate([silence, x, np.full(-len(x) % FRAME, 128, np.uint8), silence])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[:: FRAME // 2]
     for i in range(0, len(frames), block):
         yield i, np.abs(np.fft.rfft((frames[i : i + block].astype(np.float32) - 128) * window, axis=1))
@@ -62,7 +63,9 @@ def peak_pairs(samples: bytes, window: np.ndarray) -> np.ndarray:
     """int64 codes, by time: start frame << 24 | first bin << 16 | second bin << 8 | frames between them.
 
     A peak is a band's strongest bin in a frame where it is at least as strong as in the frames before and after. Each
-    peak pairs with the next peak of its own band and the next one of the band above, at most 63 frames later.
+    peak pairs with the next peak of its own band and the next one of the band above, at most 63 frames later. The
+    strongest bins of neighbouring bands in a frame that holds a peak of either pair too; in place of frames between them
+    their code has the ratio of their strengths (64 to 255), so that sounds of one frame have a fingerprint.
     """
     bins, power = [], []
     for _, magnitude in spectrogram(samples, window):
@@ -74,6 +77,11 @@ def peak_pairs(samples: bytes, window: np.ndarray) -> np.ndarray:
     peak = (power >= np.concatenate([edge, power[:-1]])) & (power >= np.concatenate([power[1:], edge])) & (power > 0)
     times = [np.flatnonzero(peak[:, k]) for k in range(peak.shape[1])]
     codes = []
+    for k in range(len(times) - 1):
+        a = np.flatnonzero(peak[:, k] | peak[:, k + 1])
+        ratio = np.log2((power[a, k].astype(np.float64) + 1e-3) / (power[a, k + 1].astype(np.float64) + 1e-3))
+        level = np.clip(np.rint(12 * ratio) + 160, 64, 255).astype(np.int64)
+        codes.append(a.astype(np.int64) << 24 | bins[a, k].astype(np.int64) << 16 | bins[a, k + 1].astype(np.int64) << 8 | level)
     for k, t in enumerate(times):
         for other in {k, min(k + 1, len(times) - 1)}:
             to = times[other]

@@ -5,11 +5,11 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from samphire.config import DuplicateOptions
 from samphire.operators.graph import connected_components
+from samphire.operators.numbering import numbered
 
 #: Chunks of a 64-bit hash for the near search.
 CHUNKS, CHUNK_BITS = 4, 16
@@ -26,8 +26,13 @@ def similarity(distance: Column) -> Column:
 def exact_groups(fingerprints: DataFrame) -> DataFrame:
     """(group_id, sha256, paths) of hashes with two paths or more: largest first, then by hash."""
     groups = fingerprints.groupBy("sha256").agg(F.array_sort(F.collect_list("path")).alias("paths"), F.count("*").alias("n")).where("n > 1")
-    rank = F.row_number().over(W.orderBy(F.desc("n"), "sha256"))
-    return groups.select(F.concat(F.lit("exact-"), rank.cast("string")).alias("group_id"), "sha256", "paths")
+    return numbered(groups, [F.desc("n"), "sha256"]).select(F.concat(F.lit("exact-"), F.col("number").cast("string")).alias("group_id"), "sha256", "paths")
+
+
+def exact_members(fingerprints: DataFrame) -> DataFrame:
+    """(path, sha256, copies) of every file that has a copy: the groups as rows, however large one is."""
+    sizes = fingerprints.groupBy("sha256").agg(F.count("*").alias("copies")).where("copies > 1")
+    return fingerprints.select("path", "sha256").join(sizes, "sha256").select("path", "sha256", "copies")
 
 
 def near_hashes(fingerprints: DataFrame, radius: int) -> DataFrame:
@@ -83,5 +88,5 @@ def near_groups(findings: DataFrame) -> DataFrame:
         F.avg("score").alias("score"), F.count_if(F.col("band") == "Likely").alias("likely_pair_count"), F.count_if(F.col("band") == "Maybe").alias("maybe_pair_count")
     )
     paths = members.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("paths"), F.count("*").alias("n"))
-    rank = F.row_number().over(W.orderBy(F.desc("n"), "component"))  # a component is named by its smallest path
-    return paths.join(counts, "component").select(F.concat(F.lit("near-"), rank.cast("string")).alias("group_id"), "paths", "score", "likely_pair_count", "maybe_pair_count")
+    ranked = numbered(paths.join(counts, "component"), [F.desc("n"), "component"])  # a component is named by its smallest path
+    return ranked.select(F.concat(F.lit("near-"), F.col("number").cast("string")).alias("group_id"), "paths", "score", "likely_pair_count", "maybe_pair_count")

@@ -303,6 +303,11 @@ def exact_groups(spark, sf_dir):
     return duplicates.exact_groups(_document_prints(spark, sf_dir)).withColumn("paths", F.array_join("paths", ","))
 
 
+@query("WITH g AS (SELECT sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1) SELECT CAST(doc_id AS VARCHAR) AS path, sha256, copies FROM documents JOIN g ON sha256(text) = g.sha256")
+def exact_members(spark, sf_dir):
+    return duplicates.exact_members(_document_prints(spark, sf_dir))
+
+
 def _vector_prints(spark, sf_dir):
     """Signs of 40 components of embeddings as fingerprints; equal vectors count as equal files."""
     bits = F.aggregate(F.transform(F.slice("embedding", 1, 40), lambda x: F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))

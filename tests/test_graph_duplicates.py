@@ -71,3 +71,11 @@ def test_thresholds(spark):
     prints = spark.createDataFrame(PRINTS, "path string, sha256 string, phash long")
     assert {r.band for r in duplicates.near_findings(prints, DuplicateOptions(12, 6)).collect()} == {"Likely"}
     assert duplicates.near_groups(duplicates.near_findings(prints, DuplicateOptions(0, 0))).count() == 0
+
+
+def test_numbers(spark):
+    from samphire.operators.numbering import numbered
+
+    frame = spark.range(1000).selectExpr("(id * 37) % 1000 AS k").repartition(7)
+    assert [(r.k, r.number) for r in numbered(frame, ["k"]).orderBy("k").collect()] == [(i, i + 1) for i in range(1000)]
+    assert numbered(frame.where("false"), ["k"]).count() == 0

@@ -55,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text", "source"))
     taken = mixing.mix(keyed, labels, carry=["__row"])
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    copies = taken.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("__row").alias("__taken_row"), times.alias("__times")).distinct()
+    # rows equal in id, text and source can't be told apart: each gets the most that one of them got
+    copies = taken.where("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("__row").alias("__taken_row")).agg(F.max(times).alias("__times"))
     joined = keyed.join(copies, (F.col("__row") == F.col("__taken_row")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
 

@@ -9,12 +9,20 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Setting, its default and the number of rows of a batch here.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 ROOT = Path(__file__).resolve().parent
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the workers, once for each SparkContext. Needed only where functions run in Python."""
+    """Send the package to the workers, once for each SparkContext. Needed only where functions run in Python.
+
+    A session whose Arrow batches have Spark's default length gets shorter ones: rows here are whole documents, of which
+    several copies of a batch are held at once.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:
+        spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
     if not getattr(context, "_samphire_shipped", False):
         file = os.path.join(tempfile.mkdtemp(prefix="samphire-"), "samphire.zip")
         with zipfile.ZipFile(file, "w") as out:

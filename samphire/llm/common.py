@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from samphire.checkpoints import checkpoint_dir, cut_lineage
 from samphire.shipping import ship
 
+__all__ = ["checkpoint_dir", "cut_lineage", "fold", "hash_sample", "map_text", "segments", "text_chunks"]
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="samphire-"))
-    return named or context.getCheckpointDir()
 
-
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor and computes ``frame`` once."""
-    checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def fold(column: str, folds: int):
@@ -46,6 +37,21 @@ def text_chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple
         yield start, run
 
 
+def segments(text: str, limit: int = 1 << 22) -> Iterator[str]:
+    """The whole text in parts of about ``limit`` characters, cut before single spaces between other characters.
+
+    No token of the tokenizers here spans such a place, so very long texts can be encoded part by part.
+    """
+    start = 0
+    while len(text) - start > limit:
+        at = SINGLE_SPACE.search(text, start + limit)
+        if at is None:
+            break
+        yield text[start : at.start()]
+        start = at.start()
+    yield text[start:]
+
+
 def map_text(
     docs: DataFrame,
     carry: list[str],

@@ -109,9 +109,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **set
     """Count the trigrams of every given document with a language. No such document: a model without languages."""
     ship(docs.sparkSession)
     known = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    if len(languages) * BUCKETS * 8 > MOST_BYTES:
-        raise ValueError(f"{len(languages)} languages don't fit in {MOST_BYTES} bytes")
+    most = MOST_BYTES // (8 * BUCKETS)
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().limit(most + 1).collect())
+    if len(languages) > most:
+        raise ValueError(f"more than {most} languages don't fit in {MOST_BYTES} bytes")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}

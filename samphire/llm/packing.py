@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samphire.llm.array_bpe import byte_symbols, merge, pair_table
-from samphire.llm.common import text_chunks
+from samphire.llm.common import segments, text_chunks
 from samphire.shipping import ship
 
 #: Characters of a shard, on average. A seed's search reads its shard's postings, so its cost follows this, not the corpus.
@@ -224,6 +224,14 @@ def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int,
             sequence += not room
 
 
+def encode_all(words: WordTokenizer, texts: list[str], end_id: int) -> list[np.ndarray]:
+    """``encode`` of texts of any length: a chunk that is one very long text goes in segments."""
+    if len(texts) > 1:
+        return words.encode(texts, end_id)
+    parts = [words.encode([part], end_id)[0] for part in segments(texts[0])]
+    return [np.concatenate([*(p[:-1] for p in parts[:-1]), parts[-1]])]
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
@@ -242,7 +250,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, i
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         shard = table.column("shard")[0].as_py()
         ids, words = table.column("doc_id").to_pylist(), load(tokenizer)
-        tokens = [t for _, part in text_chunks(table.column("text").to_pylist()) for t in words.encode(part, end_id)]
+        tokens = [t for _, part in text_chunks(table.column("text").to_pylist()) for t in encode_all(words, part, end_id)]
         pieces = list(pack_shard(tokens, window))
         doc, start, length, sequence, offset = (list(x) for x in zip(*pieces, strict=True))
         return pa.table(

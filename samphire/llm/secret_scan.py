@@ -119,8 +119,9 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 2000, samp
     paths = ["/".join(rng.choices(spark_names, k=rng.randint(2, 5))) for _ in range(4000)]
     dates = [f"{rng.choice(spark_names)}-{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}" for _ in range(1000)]
     words: list[str] = []
-    for row in rows:
-        body = row
+    for body in rows:
+        if len(words) >= sample_tokens:
+            break
         for a, b, _ in sorted(base_spans(body), reverse=True):
             body = body[:a] + " " + body[b:]
         words += re.findall(r"[A-Za-z0-9+/_=-]+", body)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from samphire.llm.array_bpe import byte_symbols, merge, pair_table
-from samphire.llm.common import map_text, text_chunks
+from samphire.llm.common import map_text, segments, text_chunks
 
 #: Distinct pre-tokens whose counts a worker keeps; further ones are counted again in each chunk.
 KEPT = 400_000
@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         bpe = load(tokenizer)
 
         def work(texts: list[str | None]) -> list[pa.Array]:
-            counts = [n for _, run in text_chunks(texts) for n in bpe.count(run)]
+            counts = [n for _, run in text_chunks(texts) for n in (bpe.count(run) if len(run) > 1 else [sum(sum(bpe.count([s])) for s in segments(run[0]))])]
             return [pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counts, pa.int64())]
 
         return work

@@ -161,11 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     table = joined.mapInArrow(hashed, "id string, y int, terms array<int>, keys array<long>").toArrow()
     table = table.sort_by([("id", "ascending"), ("y", "ascending")])
-    rows = [np.array(t, np.int64) for t in table.column("terms").to_pylist()]
-    y = np.array([float(v > 0) for v in table.column("y").to_pylist()])
+    listed = table.column("terms").combine_chunks()
+    flat, ends = listed.flatten().to_numpy().astype(np.int64), np.cumsum(listed.value_lengths().to_numpy())
+    rows = np.split(flat, ends[:-1]) if len(ends) else []
+    y = (table.column("y").to_numpy() > 0).astype(np.float64)
     if not rows:
         return FactorizationMachine(np.empty(0), -500.0, np.empty(0), np.empty((0, rank)))
-    weight = family_weights(np.array(table.column("keys").to_pylist(), np.int64))
+    weight = family_weights(table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS))
     return FactorizationMachine(*fit(rows, y, weight, rank, rounds, seed=seed))
 
 

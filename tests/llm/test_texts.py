@@ -219,3 +219,15 @@ def test_pairs_of_terms():
     assert margin(10, 20) - margin(10) - margin(20) + margin() > 0.5
     weights = toxicity.family_weights(np.array([[1, 5], [2, 5], [2, 6], [3, 7]]))
     assert weights.tolist() == [1 / 3] * 3 + [1]
+
+
+def test_very_long_texts(monkeypatch):
+    """Texts beyond a segment are encoded in parts, with the same tokens."""
+    from samphire.llm import common
+
+    text = " ".join(r[1] or "" for r in rows() if r[0] != 5) * 3
+    monkeypatch.setattr(common.segments, "__defaults__", (50,))
+    assert "".join(common.segments(text)) == text and len(list(common.segments(text))) > 10
+    assert packing.encode_all(packing.load(WORDS), [text], 2)[0].tolist() == [*_library(WORDS).encode(text, add_special_tokens=False).ids, 2]
+    bpe = token_counts.load(BYTES)
+    assert sum(sum(bpe.count([s])) for s in common.segments(text)) == len(_library(BYTES).encode(text, add_special_tokens=False).ids)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from samphire.shipping import ship
 
-#: Queries that go to the tasks at once; a block is broadcast, so this bounds what is.
-QUERY_BLOCK = 32_768
+#: Bytes of the query vectors that are broadcast to the tasks at once, on average; more queries go in more blocks.
+QUERY_BYTES = 16 << 20
 #: Queries and candidates of one matrix product.
 TILE_QUERIES, TILE_ROWS = 512, 4096
 
@@ -186,7 +186,7 @@ def nearest(
     model = spark.sparkContext.broadcast(Codes(sampled))
     coded = index(rows, model.value)
     asked = rows.where(is_query)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() * 8 * sampled.shape[1] // QUERY_BYTES))
     found = None
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("__id"), F.lit(blocks)) == b).toArrow()

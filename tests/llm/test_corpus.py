@@ -278,7 +278,8 @@ def test_odd_vectors(spark):
     assert neighbours.nearest(frame_.where("vec_id = 7 or vec_id = 5"), "__id % 20 = 0").count() == 0
 
 
-def test_neighbours_beyond_the_sample(spark):
+def test_neighbours_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 16 * 8 * 20)  # three blocks
     rng = np.random.default_rng(1)
     x = rng.standard_normal((900, 16))
     x[500:520] = x[500]

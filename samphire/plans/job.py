@@ -52,6 +52,7 @@ class JobStatus:
     stage: str = ""
     message: str = ""
     created_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
+    updated_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
     finished_at: datetime | None = None
     error: str | None = None
     outputs: dict[str, Any] = field(default_factory=dict)
@@ -87,7 +88,8 @@ class JobRunner:
             raise JobCanceled
         percent, message = next((p, m) for s, p, m in STAGES if s == stage)
         self.status.percent, self.status.stage, self.status.message = min(100, max(0, percent)), stage, message
-        self.status.log.append((datetime.now(timezone.utc), "Information", message))
+        self.status.updated_at = datetime.now(timezone.utc)
+        self.status.log.append((self.status.updated_at, "Information", message))
         self.progress(self.status)
 
     def run(self, request: JobRequest) -> JobStatus:
@@ -103,7 +105,7 @@ class JobRunner:
             if not isinstance(error, JobCanceled) and status.state == FAILED:
                 raise
         finally:
-            status.finished_at = datetime.now(timezone.utc)
+            status.updated_at = status.finished_at = datetime.now(timezone.utc)
             self.progress(status)
         return status
 

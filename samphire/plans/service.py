@@ -59,7 +59,7 @@ class JobBoard:
 
 
 def told(status: JobStatus) -> dict[str, Any]:
-    return {"jobId": status.job_id, "state": status.state, "percent": status.percent, "stage": status.stage, "message": status.message, "createdAtUtc": _time(status.created_at), "finishedAtUtc": _time(status.finished_at), "isCancelable": status.is_cancelable}
+    return {"jobId": status.job_id, "state": status.state, "percent": status.percent, "stage": status.stage, "message": status.message, "createdAtUtc": _time(status.created_at), "updatedAtUtc": _time(status.updated_at), "finishedAtUtc": _time(status.finished_at), "isCancelable": status.is_cancelable}
 
 
 def answer(board: JobBoard, settings: dict[str, bool], method: str, path: str, body: Any) -> tuple[int, Any]:

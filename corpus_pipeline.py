@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again for the next one.
+
+Odd rows have these results in every stage: an empty table gives an empty one;
+columns beyond those of documents go along, whatever their names; null ids,
+languages and sources are values like others. What null and empty texts and
+repeated rows become is said at each stage.
 """
 
 from __future__ import annotations
@@ -22,7 +27,10 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores below TOXIC; it learns from the labels of four folds in five."""
+    """Documents that the factorization machine scores below TOXIC; it learns from the labels of four folds in five.
+
+    Null and empty texts have the score of the model's bias, far below TOXIC; repeated rows go or stay together.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
     model = toxicity.train(docs, labels)
@@ -31,7 +39,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, that of the smallest id."""
+    """One document of each group of copies and near copies, that of the smallest id.
+
+    Null, empty and blank texts are one group. A null id stays only where its group has no other. Of rows that repeat an
+    id and its text one stays.
+    """
     ship(spark)
     found = near_copies.near_copies(docs, words=5, similarity=0.8)
     kept = found.where("first").groupBy(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows"))
@@ -42,13 +54,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with every secret masked; n_chars follows."""
+    """The same documents with every secret masked; n_chars follows. Rows without secrets, null texts too, are unchanged."""
     ship(spark)
     return secret_scan.redact(docs, secret_scan.train(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, wholly or (one document a source) in part."""
+    """A row for each time that the mix takes a document, wholly or (one document a source) in part.
+
+    Documents without words add nothing to a source and have no row; a null source is a source.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -62,7 +77,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens, lexical neighbours together."""
+    """Pieces of documents in sequences of 4096 tokens, lexical neighbours together. Null and empty texts are one end id."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -21,8 +21,14 @@ def brute(edges):
     return label
 
 
+@pytest.fixture(params=[100_000, 3])
+def local_edges(request, monkeypatch):
+    """Both on the driver and by star contraction."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", request.param)
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+def test_components(spark, seed, local_edges):
     rng = random.Random(seed)
     edges = [(f"n{rng.randint(0, 60):02d}", f"n{rng.randint(0, 60):02d}") for _ in range(40)]
     edges = [e for e in edges if e[0] != e[1]]
@@ -30,7 +36,7 @@ def test_components(spark, seed):
     assert found == brute(edges)
 
 
-def test_chain_and_empty(spark):
+def test_chain_and_empty(spark, local_edges):
     chain = [(i, i + 1) for i in range(40)]
     found = graph.connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()
     assert {r.component for r in found} == {0} and len(found) == 41
@@ -40,7 +46,7 @@ def test_chain_and_empty(spark):
 PRINTS = [("p1", "s1", 0x0), ("p2", "s1", 0x0), ("p3", "s2", 0x3F), ("p4", "s3", 0xFFF), ("p5", "s4", 0x8000000000000FFF - (1 << 64))]
 
 
-def test_fixture(spark):
+def test_fixture(spark, local_edges):
     prints = spark.createDataFrame(PRINTS, "path string, sha256 string, phash long")
     assert [tuple(r) for r in duplicates.exact_groups(prints).collect()] == [("exact-1", "s1", ["p1", "p2"])]
     findings = duplicates.near_findings(prints)

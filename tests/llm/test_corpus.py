@@ -180,6 +180,44 @@ def test_hot_near_copies(spark, monkeypatch):
     assert {r.component_id for r in near_copies.near_copies(docs).collect()} == {0}
 
 
+def near_pairs(seed):
+    """Pairs of texts around a similarity of 0.8: long with own ends, short with one word changed, very short."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for own in [20, 23, 24, 25, 25, 25, 26, 27, 29, 33] * 8:
+        both = fresh(204)
+        texts += [both + fresh(own), both + fresh(own)]
+    for n in [44, 49, 50, 53, 60] * 8:
+        words = fresh(n)
+        texts += [words, [*words[:20], "changed", *words[21:]]]
+    for n in [7, 8, 9, 10] * 10:
+        words = fresh(n)
+        texts += [words, [*words, "more"]]
+    return [" ".join(t) for t in texts]
+
+
+def brute_force(texts):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return dict(enumerate(label))
+
+
+def test_near_copies_around_the_similarity(spark):
+    texts = near_pairs(11)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert found == brute_force(texts)
+
+
 def test_mixing(spark):
     con = duckdb.connect()
     for name in ("documents", "labels"):

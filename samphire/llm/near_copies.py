@@ -27,6 +27,8 @@ from samphire.shipping import ship
 
 #: 64-bit words of a fingerprint; bands and min-hashes of each.
 PARTS, BANDS, ROWS = 4, 14, 4
+#: Shards with more shingles than this are dealt again too, so that a task can hold the sets of two parts.
+SHARD_SHINGLES = 1 << 22
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 77) | np.uint64(1)
 
 
@@ -93,28 +95,40 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return map_text(texts, ["node"], [T.StructField("shingles", T.BinaryType())], make, "__body")
 
 
-def candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """(family, node, f0..): the groups of nodes (node, f0.., keys) that pairs within the radius connect, shard by shard.
+def candidates(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(family, node, f0..): the groups of nodes (node, f0.., keys, size) that pairs within the radius connect, shard by shard.
 
     A family is told by the hash of its members, so one that several shards hold is there once.
 
-    A shard with more than SHARD_ROWS nodes is dealt into parts by a hash, each with the shard's smallest node, its
-    leader. Within a part all links count; parts meet in the leader, and in the shards of the other bands, whose leaders
-    and parts differ.
+    A shard with more than SHARD_ROWS nodes or SHARD_SHINGLES shingles is dealt again by the sets' sizes: alike sets are
+    in the same class of sizes or in neighbouring ones, so a window of two classes holds both. A window that is still
+    too large is dealt into parts by a hash, and each part goes with every other: no pair of a shard is left out, at a
+    cost that grows with the square of such a window.
     """
     ship(nodes.sparkSession)
-    prints = [f"f{i}" for i in range(PARTS)]
-    dealt = nodes.select("node", *prints, F.explode("keys").alias("key"))
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("leader")).where("rows > 1")
-    sized = dealt.join(sizes, "key").withColumn("parts", F.ceil(F.col("rows") / SHARD_ROWS).cast("int"))
-    own = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
-    places = F.when((F.col("parts") > 1) & (F.col("node") == F.col("leader")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-    shards = sized.select("key", F.explode(places).alias("part"), "node", *prints)
+    prints, keys = [f"f{i}" for i in range(PARTS)], ["key", "window", "low", "high"]
+    totals = [F.count("*").alias("rows"), F.sum("size").alias("shingles")]
+    dealt = nodes.select("node", *prints, "size", F.explode("keys").alias("key"))
+    sizes = dealt.groupBy("key").agg(*totals).where("rows > 1")
+    sized = dealt.join(sizes, "key")
+    fits = (F.col("rows") <= SHARD_ROWS) & (F.col("shingles") <= SHARD_SHINGLES)
+    small = sized.where(fits).select("key", F.lit(-1).cast("long").alias("window"), F.lit(0).alias("low"), F.lit(0).alias("high"), "node", *prints)
+
+    # the width is a trifle more than the similarity's, against rounding
+    own = F.floor(F.log(F.greatest("size", F.lit(1))) / (math.log(1 / similarity) + 1e-6)) if similarity < 1 else F.col("size")
+    windows = F.array(own, own + 1) if similarity < 1 else F.array(own)
+    large = sized.where(~fits).select("key", F.explode(windows).alias("window"), "node", "size", *prints)
+    counts = large.groupBy("key", "window").agg(*totals).where("rows > 1")
+    parts = F.least("rows", F.ceil(F.greatest(F.col("rows") / SHARD_ROWS, F.col("shingles") / SHARD_SHINGLES))).cast("int")
+    parted = large.join(counts.select("key", "window", parts.alias("parts")), ["key", "window"]).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("part")))
+    met = parted.withColumn("other", F.explode(others)).select("key", "window", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", *prints)
+    shards = small.unionByName(met)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in shard_runs(batches, ["key", "part"], 1 << 13):
+        for frame in shard_runs(batches, keys, 1 << 13):
             items = frame["node"].to_numpy()
-            forest = BkForest(np.ascontiguousarray(frame[prints].to_numpy(np.int64)).view(np.uint64), shard_number(frame, ["key", "part"]))
+            forest = BkForest(np.ascontiguousarray(frame[prints].to_numpy(np.int64)).view(np.uint64), shard_number(frame, keys))
             label = label_components(len(items), forest.links(radius))
             family = np.zeros(len(items), np.uint64)
             np.add.at(family, label, mix(items.view(np.uint64), 5))
@@ -122,7 +136,7 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
             yield pd.DataFrame({"family": family[label][many].view(np.int64), "node": items[many], **{c: frame[c].to_numpy()[many] for c in prints}})
 
     fields = "family long, node long, " + ", ".join(f"{c} long" for c in prints)
-    return shards.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(gather, fields).distinct()
+    return shards.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(gather, fields).distinct()
 
 
 def alike(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
@@ -186,7 +200,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     made = cut_lineage(sketches(hashed, words, ["__id", "text_hash"], "__body"))
     one = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("hash"))
     nodes = cut_lineage(made.groupBy("node").agg(F.min(one).alias("__least"), *[F.min(c).alias(c) for c in prints], F.min("keys").alias("keys"), F.min("size").alias("size"), F.min("text_hash").alias("__hash")))
-    families = cut_lineage(candidates(nodes.drop("__least", "__hash"), radius_of(similarity)))
+    families = cut_lineage(candidates(nodes.drop("__least", "__hash"), radius_of(similarity), similarity))
     # one text of each node that has a candidate: its set is made again, so that no sets are kept of the others
     wanted = families.select("node").distinct().join(nodes.select("node", "__hash"), "node")
     texts = hashed.select("text_hash", "__body").join(wanted, F.col("text_hash") == F.col("__hash")).groupBy("__hash", "node").agg(F.first("__body").alias("__body"))

@@ -218,6 +218,26 @@ def test_near_copies_around_the_similarity(spark):
     assert found == brute_force(texts)
 
 
+def hot_pairs(seed, pairs):
+    """Texts of one long passage, all at about 0.77 of each other, of which two and two share more and are at about 0.84."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passage, texts = fresh(204), []
+    for _ in range(pairs):
+        shared = fresh(10)
+        texts += [passage + shared + fresh(rng.randint(18, 21)) for _ in range(2)]
+    return [" ".join(t) for t in texts]
+
+
+def test_hot_shards_keep_every_link(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SHARD_ROWS", 6)
+    texts = hot_pairs(3, 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_force(texts)
+    assert len(set(want.values())) == 40
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == want
+
+
 def test_mixing(spark):
     con = duckdb.connect()
     for name in ("documents", "labels"):

@@ -211,14 +211,35 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+#: Bits of each of the three counts that a sum of a notice's worths holds.
+_COUNT = 20
+
+
+def _worths(model: LicenseModel) -> tuple[list[list[int]], list[tuple[int, int, int]]]:
+    """(worth of each n-gram for each notice, totals of each notice): counts of all its n-grams, those of no other family's
+    notices, and its longest, packed into one number."""
+    others = [set().union(*(t for f, t in model.templates if f != family)) for family, _ in model.templates]
+    most = [max((len(g.split()) for g in t), default=0) for _, t in model.templates]
+    kinds = lambda g, j: (1, int(g not in others[j]), int(len(g.split()) == most[j]))
+    worths = [[sum(n << (_COUNT * i) for i, n in enumerate(kinds(g, j))) if g in t else 0 for j, (_, t) in enumerate(model.templates)] for g in model.features]
+    totals = [tuple(sum(c) for c in zip(*(kinds(g, j) for g in t), strict=True)) for j, (_, t) in enumerate(model.templates)]
+    return worths, totals
+
+
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, overlap: float = 0.5) -> DataFrame:
     """(id, n_paragraphs, families, family, score, overlap) of every whole text.
 
-    ``n_paragraphs``: lines whose family is known: probability ``threshold`` or more, and ``overlap`` or more of the
-    n-grams of one of the family's notices. ``families``: those found, sorted, joined by commas; ``family``: that of the
-    line of greatest probability (ties: the first by name), else UNKNOWN; ``score`` and ``overlap``: that line's, 0
-    without one. Null and empty texts have none. Repeated rows give a row each, null ids stay null, an empty table gives
-    no row, other columns are ignored.
+    Lines are judged, and runs of lines between lines without letters and digits as a whole, n-grams across line ends
+    included. A line is known if its best family has the probability ``threshold`` or more, and ``overlap`` or more of the
+    n-grams of one of the family's notices. A notice is confirmed by ``overlap`` of its n-grams and of those that no other
+    family has. A known line has the families of confirmed notices too, and a line that confirms two families or more is
+    known. A run has the families of confirmed notices that its lines don't have, if ``overlap`` of the notice's longest
+    n-grams are there, so that words far apart confirm none.
+
+    ``n_paragraphs``: known lines, and runs with such a family. ``families``: those found, sorted, joined by commas;
+    ``family``: that of the greatest probability in its line or run (ties: the first by name), lines first, else UNKNOWN;
+    ``score`` and ``overlap``: that one's, 0 without one. Null and empty texts have none. Repeated rows give a row each,
+    null ids stay null, an empty table gives no row, other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -228,34 +249,57 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     has = F.lower("text").rlike(wanted)
     none = rows.where(~has).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_paragraphs"), F.lit("").alias("families"), F.lit(UNKNOWN).alias("family"), F.lit(0.0).alias("score"), F.lit(0.0).alias("overlap"))
 
-    table = [(g, [float(v) for v in model.weights[i]], [j for j, (_, t) in enumerate(model.templates) if g in t]) for g, i in model.features.items()]
-    known = F.broadcast(spark.createDataFrame(table, "gram string, weights array<double>, notices array<int>"))  # the notices' n-grams
+    worths, totals = _worths(model)
+    table = [(g, [float(v) for v in model.weights[i]], worths[i]) for g, i in model.features.items()]
+    known = F.broadcast(spark.createDataFrame(table, "gram string, weights array<double>, worths array<long>"))  # the notices' n-grams
     some = rows.where(has).withColumn("row", F.monotonically_increasing_id())  # ids may repeat; rows don't
-    some = some.select("row", "id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    some = some.select("row", "id", F.posexplode(F.split("text", r"\n[^A-Za-z0-9]*\n")).alias("run", "body"))
+    body, lines_of = F.col("body"), F.split("body", "\n")
+    whole = F.when(F.size(lines_of) > 1, F.array(F.struct(F.lit(-1).alias("at"), body.alias("line")))).otherwise(F.array().cast("array<struct<at:int,line:string>>"))
+    units = F.concat(whole, F.transform(lines_of, lambda line, i: F.struct(i.alias("at"), line.alias("line"))))
+    some = some.select("row", "id", "run", F.explode(units).alias("unit")).select("row", "id", "run", "unit.at", "unit.line")
     # a line without such a word stays as one without n-grams, so that its document stays
     tokens = F.when(F.lower("line").rlike(wanted), _tokens(F.col("line"))).otherwise(F.array().cast("array<string>"))
-    listed = some.select("row", "id", "at", tokens.alias("w"))
+    listed = some.select("row", "id", "run", "at", tokens.alias("w"))
     n_gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
     every = F.array_distinct(F.concat(*[F.when(F.size("w") >= n, n_gram(n)).otherwise(F.array().cast("array<string>")) for n in range(1, ORDER + 1)]))
-    hits = listed.select("row", "id", "at", F.explode_outer(every).alias("gram")).join(known, "gram", "left")
-    classes = range(len(model.families) + 1)
+    hits = listed.select("row", "id", "run", "at", F.explode_outer(every).alias("gram")).join(known, "gram", "left")
+    classes, notices = range(len(model.families) + 1), range(len(model.templates))
     sums = [F.coalesce(F.sum(F.col("weights")[k]), F.lit(0.0)).alias(f"z{k}") for k in classes]
-    met = [F.sum(F.when(F.array_contains("notices", j), 1).otherwise(0)).alias(f"t{j}") for j in range(len(model.templates))]
-    lines = hits.groupBy("row", "id", "at").agg(*sums, *met, F.count("weights").alias("evidence"))
+    met = [F.coalesce(F.sum(F.col("worths")[j]), F.lit(0)).alias(f"t{j}") for j in notices]
+    lines = hits.groupBy("row", "id", "run", "at").agg(*sums, *met, F.count("weights").alias("evidence"))
     z = [(F.lit(float(model.bias[k])) + F.col(f"z{k}")) / float(model.temperature) for k in classes]
     top = F.greatest(*z)
-    lines = lines.select("row", "id", "evidence", *[F.exp(v - top).alias(f"e{k}") for k, v in zip(classes, z, strict=True)], *[f"t{j}" for j in range(len(model.templates))])
+    lines = lines.select("row", "id", "run", "at", "evidence", *[F.exp(v - top).alias(f"e{k}") for k, v in zip(classes, z, strict=True)], *[f"t{j}" for j in notices])
     total = sum((F.col(f"e{k}") for k in classes), F.lit(0.0))
+    part = lambda j, kind: F.shiftright(F.col(f"t{j}"), _COUNT * kind).bitwiseAND(F.lit((1 << _COUNT) - 1)) / float(max(totals[j][kind], 1))
     each = []
     for k, family in enumerate(model.families):
-        near = [F.col(f"t{j}") / float(len(t)) for j, (f, t) in enumerate(model.templates) if f == family]
-        each.append(F.struct((F.col(f"e{k}") / total).alias("p"), F.lit(-k).alias("rank"), (F.greatest(*near) if len(near) > 1 else near[0]).alias("overlap"), F.lit(family).alias("family")))
-    lines = lines.select("row", "id", "evidence", F.array_max(F.array(*each)).alias("best"))
+        own = [j for j in notices if model.templates[j][0] == family]
+        near = [part(j, 0) for j in own]
+        sure = F.lit(False)
+        for j in own:
+            sure = sure | ((part(j, 0) >= overlap) & (part(j, 1) >= overlap) & ((F.col("at") >= 0) | (part(j, 2) >= overlap)))
+        each.append(F.struct((F.col(f"e{k}") / total).alias("p"), F.lit(-k).alias("rank"), (F.greatest(*near) if len(near) > 1 else near[0]).alias("overlap"), F.lit(family).alias("family"), sure.alias("sure")))
+    lines = lines.select("row", "id", "run", "at", "evidence", F.array(*each).alias("each")).withColumn("best", F.array_max("each")).withColumn("sure", F.filter("each", lambda x: x["sure"]))
     good = (F.col("evidence") > 0) & (F.col("best.p") >= threshold) & (F.col("best.overlap") >= overlap)
-    found = lines.groupBy("row", "id").agg(
-        F.sum(good.cast("long")).alias("n_paragraphs"),
-        F.array_join(F.array_sort(F.collect_set(F.when(good, F.col("best.family")))), ",").alias("families"),
-        F.max(F.when(good, F.col("best"))).alias("best"),
+    besides = F.filter("sure", lambda x: x["family"] != F.col("best.family"))
+    # of a line: its families; of a run: what its notices confirm
+    found = F.when(F.col("at") < 0, F.col("sure")).when(good, F.concat(F.array("best"), besides)).when(F.size("sure") > 1, F.col("sure")).otherwise(F.filter("sure", lambda x: F.lit(False)))
+    lines = lines.select("row", "id", "run", "at", found.alias("found"))
+    inside = F.flatten(F.collect_list(F.when(F.col("at") >= 0, F.col("found"))))
+    runs = lines.groupBy("row", "id", "run").agg(
+        F.sum(((F.col("at") >= 0) & (F.size("found") > 0)).cast("long")).alias("n"),
+        inside.alias("inside"),
+        F.flatten(F.collect_list(F.when(F.col("at") < 0, F.col("found")))).alias("across"),
+    )
+    runs = runs.withColumn("across", F.filter("across", lambda x: ~F.exists("inside", lambda y: y["family"] == x["family"])))
+    told = runs.groupBy("row", "id").agg(
+        F.sum(F.col("n") + (F.size("across") > 0).cast("long")).alias("n_paragraphs"),
+        F.flatten(F.collect_list("inside")).alias("inside"),
+        F.flatten(F.collect_list("across")).alias("across"),
     )
-    found = found.select(F.col("id").alias(id_col), "n_paragraphs", "families", F.coalesce("best.family", F.lit(UNKNOWN)).alias("family"), F.coalesce("best.p", F.lit(0.0)).alias("score"), F.coalesce("best.overlap", F.lit(0.0)).alias("overlap"))
-    return none.unionByName(found)
+    told = told.withColumn("best", F.coalesce(F.array_max("inside"), F.array_max("across")))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat("inside", "across"), lambda x: x["family"]))), ",")
+    told = told.select(F.col("id").alias(id_col), "n_paragraphs", families.alias("families"), F.coalesce("best.family", F.lit(UNKNOWN)).alias("family"), F.coalesce("best.p", F.lit(0.0)).alias("score"), F.coalesce("best.overlap", F.lit(0.0)).alias("overlap"))
+    return none.unionByName(told)

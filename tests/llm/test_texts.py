@@ -156,6 +156,22 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+WRAPPED = {
+    "gpl": "# This file is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the \"Software\"),\nto deal in the Software without restriction, including without limitation",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:",
+    "apache,mit": "Licensed under the MIT license or the Apache License, Version 2.0.",
+    "": "He asked for the permission of any person.\nThe software was free.\nThe license of the public was general,\nand the redistribution of source forms was met.",
+}
+
+
+def test_wrapped_and_dual_licenses(spark):
+    model = license_scan.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    docs = spark.createDataFrame([(k, f"some words before\n\n{t}\n\nand some after") for k, t in WRAPPED.items()] + [("bsd", WRAPPED["bsd"].replace(" ", "\n")), ("gpl,mit", WRAPPED["gpl"] + "\n#\n" + WRAPPED["mit"])], "doc_id string, text string")
+    found = license_scan.scan(docs, model).collect()
+    assert len(found) == 7 and all(r.families == r.doc_id for r in found)
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = languages.train(docs.where(fold("doc_id", 4) != 2))

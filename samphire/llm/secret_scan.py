@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and character Markov models of random strings against ordinary identifiers.
 
-A run of key-like characters is a secret if a chain trained on random strings
-explains it better than one trained on ordinary identifiers, by a margin per
-character of the log-likelihood ratio.
+A stretch of key-like characters is a secret if a chain trained on random
+strings explains it better than one trained on ordinary identifiers: the
+log-likelihood ratio of the whole stretch decides, not its length or classes.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 6, "access": 20}
 
-#: Runs that the chains judge. Shorter ones give too little evidence either way.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 SYMBOLS = string.ascii_letters + string.digits + "+/_=-"
 INDEX = {c: i for i, c in enumerate(SYMBOLS)}
+#: Code of each ASCII character; what is no symbol ends a run, as does a base span.
+OTHER, RESET = len(SYMBOLS), -1e7
+TABLE = np.array([INDEX.get(chr(i), OTHER) for i in range(128)], np.int64)
+#: A secret takes whole parts between these.
+BORDERS = np.array([INDEX[c] for c in "/=_-"])
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -76,40 +79,69 @@ class Chain:
 
 
 class SecretModel:
-    """The two chains and the margin per character above which a run is a secret."""
+    """The two chains and the log-likelihood ratio above which a stretch of characters is a secret."""
 
     def __init__(self, random_: list[str], ordinary: list[str], margin: float):
         self.random, self.ordinary, self.margin = Chain(random_), Chain(ordinary), margin
-        self.known: dict[str, bool] = {}
+        self.steps = np.full((OTHER + 1, OTHER + 1), RESET)
+        self.steps[:OTHER, :OTHER] = self.random.step - self.ordinary.step
+        self.steps[OTHER, :OTHER] = self.random.first - self.ordinary.first
+
+    def gains(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums of the log ratios before each character and after the last, the greatest of a stretch that ends there)."""
+        sums = np.r_[0.0, np.cumsum(self.steps[np.r_[OTHER, c[:-1]], c])]
+        return sums, sums[1:] - np.minimum.accumulate(sums[:-1])
 
     def ratio(self, token: str) -> float:
-        """Log-likelihood ratio of a run, per character."""
-        c = codes(token)
-        return (self.random.score(c) - self.ordinary.score(c)) / len(c)
+        """Log-likelihood ratio of the best stretch of a run."""
+        return float(self.gains(codes(token))[1].max()) if token else 0.0
 
     def is_secret(self, token: str) -> bool:
-        """Only runs that mix letters and digits are judged: keys do, words and rules of dashes do not."""
-        if not (any(map(str.isdigit, token)) and any(map(str.isalpha, token))):
-            return False
         return self.ratio(token) > self.margin
 
+    def stretches(self, c: np.ndarray, at: int) -> list[tuple[int, int]]:
+        """(start, end) of the secrets in a run that begins at ``at``: the best stretch with its whole parts, then in the rest."""
+        found, left = [], [(0, len(c))]
+        while left:
+            low, high = left.pop()
+            if low >= high:
+                continue
+            sums, gain = self.gains(c[low:high])
+            last = int(gain.argmax())
+            if gain[last] <= self.margin:
+                continue
+            first = int(sums[: last + 1].argmin())
+            border = np.flatnonzero(np.isin(c[low:high], BORDERS))
+            start, end = border[border < first], border[border > last]
+            if sums[-1] >= 0.9 * gain[last]:  # what is beside the stretch is hardly less random: the whole run is one key
+                start = end = border[:0]
+            first, last = low + (int(start[-1]) + 1 if len(start) else 0), low + (int(end[0]) if len(end) else high - low)
+            found.append((at + first, at + last))
+            left += [(low, first), (last, high)]
+        return found
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """Base spans and, where none of them reaches, spans of kind markov, by start and then kind."""
+        """Base spans and, in what they leave, spans of kind markov, by start and then kind."""
         found = base_spans(text)
-        taken = [(a, b) for a, b, _ in found]
-        for m in CANDIDATE.finditer(text):
-            if self.is_secret(m.group()) and not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append((m.start(), m.end(), "markov"))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where(points < 128, TABLE[np.minimum(points, 127)], OTHER)
+        for a, b, _ in found:
+            c[a:b] = OTHER
+        if len(c) and (hit := self.gains(c)[1] > self.margin).any():
+            ends = np.flatnonzero(c == OTHER)
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(hit))):
+                low, high = int(ends[k - 1]) + 1 if k else 0, int(ends[k]) if k < len(ends) else len(c)
+                found += [(a, b, "markov") for a, b in self.stretches(c[low:high], low)]
         return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 2000, sample_tokens: int = 200_000, seed: int = 7) -> SecretModel:
     """Fit both chains on labelled samples, on the driver.
 
-    Random: generated keys. Ordinary: names of the public functions of this Python's modules, joined and single, and
-    words outside base spans of at most ``sample_rows`` whole documents (those of lowest hash), at most
-    ``sample_tokens`` words in all: a bounded training sample. The margin lies midway between the 99th
-    percentile of long ordinary tokens and the 10th of random ones. An empty table leaves the fixed names alone.
+    Random: generated keys. Ordinary: names of the public functions of this Python's modules, joined and single, capital, numbers, rules of one sign,
+    and words outside base spans of at most ``sample_rows`` whole documents (those of lowest hash), at most
+    ``sample_tokens`` words in all: a bounded training sample. The margin lies midway between the 99.9th
+    percentile of ordinary names and the 1st of random keys of 16 characters or more. An empty table leaves the fixed names alone.
     """
     rows = hash_sample(docs, text_col, sample_rows)
     spark_names = [n for n in dir(F) if not n.startswith("_")] + [n for n in dir(np) if not n.startswith("_")]
@@ -118,6 +150,10 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 2000, samp
     joined += ["".join(p.title() for p in rng.choice(joined).split("_")) for _ in range(4000)] + ["-".join(rng.choice(joined).split("_")) for _ in range(2000)]
     paths = ["/".join(rng.choices(spark_names, k=rng.randint(2, 5))) for _ in range(4000)]
     dates = [f"{rng.choice(spark_names)}-{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}" for _ in range(1000)]
+    # numbers (of cards, accounts, times) and rules of one sign name no key
+    numbers = ["".join(rng.choices(string.digits, k=rng.randint(4, 19))) for _ in range(4000)]
+    rules = [sign * rng.randint(3, 80) for sign in "+/_=-" for _ in range(200)]
+    constants = [j.upper() for j in joined[:2000]]
     words: list[str] = []
     for body in rows:
         if len(words) >= sample_tokens:
@@ -125,10 +161,12 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 2000, samp
         for a, b, _ in sorted(base_spans(body), reverse=True):
             body = body[:a] + " " + body[b:]
         words += re.findall(r"[A-Za-z0-9+/_=-]+", body)
-    ordinary = spark_names + joined + paths + dates + [w for w in words[:sample_tokens] if len(w) < 20]
+    ordinary = spark_names + joined + paths + dates + numbers + rules + constants + [w for w in words[:sample_tokens] if len(w) < 20]
+    ordinary += [w.upper() for w in words[:sample_tokens:10] if len(w) < 20]  # names and headings in capitals
     model = SecretModel(made := random_tokens(seed, 1500), ordinary, 0.0)
-    high = np.percentile([model.ratio(t) for t in joined + paths + dates if len(t) >= 20], 99)
-    low = np.percentile([model.ratio(t) for t in made], 10)
+    keys = [t[: rng.randint(16, 24)] for t in made]
+    high = np.percentile([model.ratio(t) for t in joined + paths + dates + numbers + rules + constants], 99.9)
+    low = np.percentile([model.ratio(t) for t in keys], 1)
     model.margin = float((high + low) / 2) if low > high else float(high)
     return model
 

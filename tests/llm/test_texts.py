@@ -135,6 +135,20 @@ def test_secret_chains(spark, secrets):
     assert sum("markov" in k for t in docs for *_, k in secrets.spans(t)) == 0
 
 
+def test_secrets_of_any_run(secrets):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    made = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    covered = lambda text, key: any(a <= text.index(key) and text.index(key) + len(key) <= b for a, b, _ in secrets.spans(text))
+    for alphabet, n in ((letters + "0123456789", 16), (letters + "0123456789", 20), (letters, 24)):
+        keys = [made(alphabet, n) for _ in range(100)]
+        assert np.mean([covered(f"use {k} here", k) for k in keys]) > 0.95
+    keys = [made(letters + "0123456789", 24) for _ in range(100)]
+    assert np.mean([covered(f"see https://example.org/files/images/download_all/of-the-year/{k} now", k) for k in keys]) > 0.95
+    assert np.mean([covered(f"AKIA{'A1B2' * 5}/{k}", k) for k in keys]) > 0.95
+    assert not any(k == "markov" for *_, k in secrets.spans("files/images/download_all/of-the-year ---------------- ================ internationalization"))
+
+
 def test_licenses(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = license_scan.train(docs)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from samphire.checkpoints import checkpoint_dir, cut_lineage
 from samphire.shipping import ship
 
-__all__ = ["checkpoint_dir", "cut_lineage", "fold", "hash_sample", "map_text", "segments", "text_chunks"]
+__all__ = ["checkpoint_dir", "cut_lineage", "fold", "hash_sample", "map_text", "segments", "slices", "text_chunks"]
 
 
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -52,6 +52,13 @@ def segments(text: str, limit: int = 1 << 22) -> Iterator[str]:
     yield text[start:]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Shorter batches: rows are whole documents, of which several copies are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_text(
     docs: DataFrame,
     carry: list[str],
@@ -71,7 +78,7 @@ def map_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             made = work(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
 

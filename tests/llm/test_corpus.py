@@ -53,9 +53,9 @@ def check_pieces(docs, pieces, window=4096):
 
 def test_packing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    pieces = [r.asDict() for r in packing.pack(docs, WORDS, shard_chars=200_000).collect()]
+    pieces = [r.asDict() for r in packing.pack(docs, WORDS, shard_tokens=60_000).collect()]
     check_pieces([(r.doc_id, r.text) for r in docs.collect()], pieces)
-    again = [r.asDict() for r in packing.pack(docs.repartition(7), WORDS, shard_chars=200_000).collect()]
+    again = [r.asDict() for r in packing.pack(docs, WORDS, shard_tokens=60_000).collect()]
     key = lambda p: (p["doc_id"], p["start"])
     assert sorted(pieces, key=key) == sorted(again, key=key)
     check_pieces([r[:2] for r in rows()], [r.asDict() for r in packing.pack(frame(spark), WORDS).collect()])
@@ -64,26 +64,100 @@ def test_packing(spark):
     assert sum(r.length for r in digests) == sum(p["length"] for p in pieces)
 
 
-def test_bm25_and_neighbours():
+def corpus_weights(docs):
+    """Plain weights of ids 0 to the greatest, and the mean length."""
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]))
+    return np.where(df > 0, np.log((len(docs) - df + 0.5) / (df + 0.5)), 0.0), np.mean([len(d) for d in docs])
+
+
+def plain_scores(docs, q, weight, mean):
+    """Scores of all documents, term by term; terms that no other document has add nothing."""
+    want = np.zeros(len(docs))
+    for t in set(docs[q].tolist()):
+        if weight[t] > 0 and sum(t in d for d in docs) > 1:
+            for i, d in enumerate(docs):
+                tf = int((d == t).sum())
+                want[i] += weight[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    return want
+
+
+def test_bm25():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint32) for _ in range(30)]
-    index, n, mean = packing.Bm25(docs), len(docs), np.mean([len(d) for d in docs])
-    for q in range(n):
-        want = np.zeros(n)
-        for t in set(docs[q].tolist()):
-            df = sum(t in d for d in docs)
-            idf = np.log((n - df + 0.5) / (df + 0.5))
-            if idf > 0 and df > 1:
-                for i, d in enumerate(docs):
-                    tf = int((d == t).sum())
-                    want[i] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
-        assert index.scores(q) == pytest.approx(want)
+    weight, mean = corpus_weights(docs)
+    index = packing.Bm25(docs, weight, mean)
+    for q in range(len(docs)):
+        assert index.scores(q) == pytest.approx(plain_scores(docs, q, weight, mean))
+    used = np.arange(len(docs)) % 3 == 0
+    index.forget(used)
+    for q in range(len(docs)):
+        assert index.scores(q)[~used] == pytest.approx(plain_scores(docs, q, weight, mean)[~used])
     topic = lambda k, size: rng.integers(1000 * k, 1000 * k + 40, size).astype(np.uint32)
     docs = [topic(k % 4, 50) for k in range(40)]
     together = {}
-    for d, _, _, s, _ in packing.pack_shard(docs, 200):
+    for d, _, _, s, _ in packing.pack_shard(docs, 200, *corpus_weights(docs)):
         together.setdefault(s, []).append(d % 4)
-    assert np.mean([len(set(v)) == 1 for v in together.values()]) > 0.7
+    assert np.mean([len(set(v)) == 1 for s, v in together.items() if s >= 0]) > 0.7
+
+
+def plain_fill(score, left, text, room, held):
+    """The rule of ``fill``, one document after another."""
+    order = sorted((d for d in range(len(left)) if left[d] > 0), key=lambda d: (-score[d], d))
+    out, held = [], set(held)
+    for related, fresh in ((True, True), (False, True), (False, False)):
+        fits = lambda d: d not in {x for x, _ in out} and (score[d] > 0 or not related) and not (fresh and text[d] in held)  # noqa: B023, E731
+        for d in order:
+            if left[d] <= room and fits(d):
+                out.append((d, int(left[d])))
+                held.add(text[d])
+                room -= left[d]
+        if room:
+            for d in order:
+                if fits(d):
+                    out.append((d, int(room)))
+                    room = 0
+                    break
+        if not room:
+            break
+    return out
+
+
+def test_windows_are_filled_by_score_then_position(monkeypatch):
+    rng = np.random.default_rng(4)
+    ranked = packing.ranked
+    for case in range(300):
+        n = int(rng.integers(1, 60))
+        score = rng.integers(0, 4, n).astype(float)  # many ties
+        left, text = rng.integers(0, 30, n), rng.integers(0, 20, n)
+        monkeypatch.setattr(packing, "ranked", lambda s, among, case=case: ranked(s, among, 1 + case % 7))
+        room = int(rng.integers(1, 80))
+        assert list(packing.fill(score, left, text, room, {3})) == plain_fill(score, left, text, room, {3})
+
+
+def test_copies_go_to_different_windows(spark):
+    docs = [(i % 40, prose(i % 40, 30 + i % 40), "en", "s", 1) for i in range(160)]
+    pieces = packing.pack(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), WORDS, window=256).collect()
+    held, size = {}, {}
+    for p in pieces:
+        held.setdefault(p.sequence_id, []).append(p.doc_id)
+        size[p.sequence_id] = size.get(p.sequence_id, 0) + p.length
+    assert all(len(set(v)) == len(v) for s, v in held.items() if size[s] == 256)
+    alone = packing.pack(spark.createDataFrame([(i, "the same words") for i in range(900)], "doc_id long, text string"), WORDS, window=64).collect()
+    check = {}
+    for p in alone:
+        check[p.sequence_id] = check.get(p.sequence_id, 0) + p.length
+    assert sum(check.values()) == 900 * alone[0].doc_tokens and sum(v != 64 for v in check.values()) < 10
+
+
+def test_like_documents_meet_in_a_shard(spark):
+    """Of each document's best neighbour in the whole corpus, the share that the order by min-hashes puts near it."""
+    rng = random.Random(8)
+    topics = [[f"t{k}w{i}" for i in range(60)] for k in range(50)]
+    docs = [(i, " ".join(rng.choices(topics[i % 50], k=80))) for i in range(1000)]
+    made = packing.encoded(spark.createDataFrame(docs, "doc_id long, text string"), WORDS, 2).where("counts IS NULL").orderBy("k1", "k2").collect()
+    place = {r.doc_id: n // 50 for n, r in enumerate(made)}  # 20 shards
+    same = [np.mean([place[j] == place[i] for j in range(i % 50, 1000, 50) if j != i]) for i in range(1000)]
+    assert np.mean(same) > 3 / 20  # 1 in 20 by chance
 
 
 def brute_components(items, linked):
@@ -373,7 +447,13 @@ def test_pipeline(spark, tmp_path):
     for r in kept["mixing"]:
         mixed[r.doc_id] = mixed.get(r.doc_id, 0) + 1
     assert max(mixed.values()) <= 3 and set(mixed) <= {r.doc_id for r in kept["secrets"]}
-    check_pieces([(r.doc_id, r.text) for r in kept["mixing"]], [r.asDict() for r in kept["packing"]])
+    pieces = [r.asDict() for r in kept["packing"]]
+    check_pieces([(r.doc_id, r.text) for r in kept["mixing"]], pieces)
+    windows, size = {}, {}
+    for p in pieces:
+        windows.setdefault(p["sequence_id"], []).append(p["doc_id"])
+        size[p["sequence_id"]] = size.get(p["sequence_id"], 0) + p["length"]
+    assert all(len(set(v)) == len(v) for s, v in windows.items() if size[s] == 4096)
 
 
 def test_pipeline_run_and_odd_rows(spark):
@@ -384,7 +464,3 @@ def test_pipeline_run_and_odd_rows(spark):
             made = stage(spark, data, SF)
             assert name == "packing" or made.columns == docs.columns
             made.count()
-
-
-def test_prose():
-    assert prose(1, 5) == prose(1, 5)

@@ -36,8 +36,11 @@ class MetricsOptions:
 
 @dataclass(frozen=True)
 class DuplicateOptions:
+    """``list_all_pairs``: a job lists every near pair of files; else pairs of hashes and each hash's files."""
+
     likely_hamming_threshold: int = 6
     maybe_hamming_threshold: int = 12
+    list_all_pairs: bool = True
 
     def __post_init__(self) -> None:
         _whole("likely_hamming_threshold", self.likely_hamming_threshold, 0)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samphire.sources.scan import listed_files, literal_paths
+
 SIDE, KEPT = 32, 8
 
 
@@ -67,6 +71,21 @@ def perceptual_hash(height: Column, width: Column, channels: Column, data: Colum
 
 
 def fingerprints(files: DataFrame, images: DataFrame, eps: float = 0.0) -> DataFrame:
-    """(path, sha256, phash) from binary files (path, content) and decoded images (the image source's struct)."""
-    decoded = images.select(F.col("image.origin").alias("path"), perceptual_hash(F.col("image.height"), F.col("image.width"), F.col("image.nChannels"), F.col("image.data"), eps).alias("phash"))
-    return files.select("path", F.sha2("content", 256).alias("sha256")).join(decoded.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "phash"), "path", "left")
+    """(path, sha256, phash) from binary files (path, content) and decoded images (the image source's struct).
+
+    Files that Spark's image source can't decode (WebP, broken ones) keep a row with a null phash: they take part in
+    exact groups and not in near ones. Repeated paths are the caller's to remove (``scan.clean_paths``).
+    """
+    # the image source gives addresses, the binary one paths
+    origin = F.url_decode(F.replace(F.regexp_replace("image.origin", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
+    decoded = images.select(origin.alias("path"), perceptual_hash(F.col("image.height"), F.col("image.width"), F.col("image.nChannels"), F.col("image.data"), eps).alias("phash"))
+    return files.select("path", F.sha2("content", 256).alias("sha256")).join(decoded, "path", "left")
+
+
+def listed_fingerprints(spark: SparkSession, paths: Sequence[str | None], eps: float = 0.0) -> DataFrame:
+    """``fingerprints`` of a list of files, each once; blank entries are left out, a missing file is an error."""
+    files = literal_paths(listed_files(spark, paths))
+    if not files:
+        return spark.createDataFrame([], "path string, sha256 string, phash long")
+    raw = spark.read.format("binaryFile").load(files).select("path", "content")
+    return fingerprints(raw, spark.read.format("image").option("dropInvalid", "true").load(files), eps)

@@ -1,18 +1,25 @@
-"""Exact and near duplicates of fingerprints (path, sha256, phash long)."""
+"""Exact and near duplicates of fingerprints (path, sha256, phash long).
+
+Null hashes are never near; null paths are paths like others; repeated rows count each. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samphire.checkpoints import cut_lineage
 from samphire.config import DuplicateOptions
 from samphire.operators.graph import connected_components
 from samphire.operators.numbering import numbered
 
-#: Chunks of a 64-bit hash for the near search.
-CHUNKS, CHUNK_BITS = 4, 16
+BITS = 64
+#: Values of a chunk that a hash may look up, at most: what is spent on a lookup and on a candidate, in the same unit.
+MOST_MASKS, LOOKUP_COST, CANDIDATE_COST = 2000, 20.0, 1.0
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -24,7 +31,10 @@ def similarity(distance: Column) -> Column:
 
 
 def exact_groups(fingerprints: DataFrame) -> DataFrame:
-    """(group_id, sha256, paths) of hashes with two paths or more: largest first, then by hash."""
+    """(group_id, sha256, paths) of hashes with two paths or more: largest first, then by hash.
+
+    A list for each group, as a report shows them; ``exact_members`` has the groups as rows.
+    """
     groups = fingerprints.groupBy("sha256").agg(F.array_sort(F.collect_list("path")).alias("paths"), F.count("*").alias("n")).where("n > 1")
     return numbered(groups, [F.desc("n"), "sha256"]).select(F.concat(F.lit("exact-"), F.col("number").cast("string")).alias("group_id"), "sha256", "paths")
 
@@ -35,58 +45,158 @@ def exact_members(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.select("path", "sha256").join(sizes, "sha256").select("path", "sha256", "copies")
 
 
+@cache
+def chunking(radius: int, rows: int) -> tuple[tuple[int, int, int], ...]:
+    """(first bit, bits, radius) of the chunks by which ``rows`` hashes are searched at least cost.
+
+    Of hashes within the radius, one chunk at least differs in no more than its own radius, if those radii add up to
+    radius - chunks + 1. Few wide chunks make many lookups, many narrow ones make many candidates.
+    """
+    best, found = None, None
+    for n in range(1, min(radius + 1, BITS) + 1):
+        widths = [BITS // n + (i < BITS % n) for i in range(n)]
+        radii = [(radius - n + 1) // n + (i < (radius - n + 1) % n) for i in range(n)]
+        masks = [sum(comb(w, k) for k in range(min(w, r) + 1)) for w, r in zip(widths, radii, strict=True)]
+        if max(masks) > MOST_MASKS:
+            continue
+        cost = sum(m * (LOOKUP_COST + CANDIDATE_COST * rows / 2**w) for m, w in zip(masks, widths, strict=True))
+        if best is None or cost < best:
+            best, found = cost, tuple((sum(widths[:i]), w, r) for i, (w, r) in enumerate(zip(widths, radii, strict=True)))
+    return found
+
+
 def near_hashes(fingerprints: DataFrame, radius: int) -> DataFrame:
     """(a, b, distance) of distinct hashes a < b within the radius, by multi-index hashing.
 
-    A pair within the radius is within radius // 4 of each other in one of four 16-bit chunks at least. Each hash lies in
-    four shards, by its chunks, and looks up every chunk value that near; candidates are then measured in full.
+    Each hash lies in a shard for each of its chunks (``chunking``) and looks up the values of a chunk that are near; of
+    a pair the one with the smaller value looks. Both sides are sorted by (chunk, value) and merged, neither is
+    broadcast; the distance is a condition of that join, so candidates aren't written anywhere. A value that very many
+    hashes share is split by adaptive execution.
+    """
+    if not 0 <= radius < BITS:
+        raise ValueError("a radius from 0 to 63 is expected")
+    hashes = cut_lineage(fingerprints.where("phash IS NOT NULL").select("phash").distinct())
+    chunks = chunking(radius, 1 << max(10, hashes.count().bit_length()))
+    value = lambda at, bits: F.shiftrightunsigned("phash", at).bitwiseAND(F.lit((1 << bits) - 1 if bits < BITS else -1))
+    shards = hashes.select("phash", F.explode(F.array(*[F.struct(F.lit(i).alias("chunk"), value(at, bits).alias("value")) for i, (at, bits, _) in enumerate(chunks)])).alias("c"))
+    shards = shards.select("phash", "c.chunk", "c.value")
+    lists = F.array(*[F.array(*[F.lit(sum(1 << b for b in on)).cast("long") for k in range(min(bits, own) + 1) for on in combinations(range(bits), k)]) for _, bits, own in chunks])
+    looked = shards.withColumn("mask", F.explode(F.element_at(lists, F.col("chunk") + 1)))
+    near = F.col("value").bitwiseXOR(F.col("mask"))
+    probes = looked.where(near >= F.col("value")).select(F.col("phash").alias("p"), "chunk", near.alias("value"), "mask")
+    apart = hamming(F.col("p"), F.col("q"))
+    met = probes.join(shards.withColumnRenamed("phash", "q").hint("merge"), ["chunk", "value"])
+    found = met.where((apart <= radius) & ((F.col("mask") != 0) & (F.col("p") != F.col("q")) | (F.col("p") < F.col("q"))))
+    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), apart.alias("distance")).distinct()
+
+
+def classes(fingerprints: DataFrame) -> DataFrame:
+    """(phash, sha256, path, files): files equal in both, by their smallest path."""
+    return fingerprints.where("phash IS NOT NULL").groupBy("phash", "sha256").agg(F.min("path").alias("path"), F.count("*").alias("files"))
+
+
+def near_links(fingerprints: DataFrame, options: DuplicateOptions = DuplicateOptions()) -> DataFrame:
+    """(left_path, right_path, hamming_distance, band, score): ``near_findings`` between the smallest paths of hashes.
+
+    With ``near_members`` that says all that the list of all pairs says, in rows that don't grow with the square of the
+    files of one hash: a finding holds for all members of its two hashes that aren't exact copies. Files of one hash that
+    differ link to its smallest path.
     """
-    if radius >= 64:
-        raise ValueError("a radius below 64 is expected")
-    own = radius // CHUNKS
-    masks = [sum(1 << b for b in bits) for n in range(min(own, CHUNK_BITS) + 1) for bits in combinations(range(CHUNK_BITS), n)]
-    hashes = fingerprints.where("phash IS NOT NULL").select("phash").distinct()
-    piece = lambda i: F.shiftrightunsigned("phash", CHUNK_BITS * i).bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).cast("int")
-    chunks = F.array(*[F.struct(F.lit(i).alias("chunk"), piece(i).alias("value")) for i in range(CHUNKS)])
-    shards = hashes.select("phash", F.explode(chunks).alias("c")).select("phash", "c.chunk", "c.value")
-    probes = shards.withColumn("mask", F.explode(F.lit(masks))).select(F.col("phash").alias("a"), "chunk", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    near = probes.join(shards.withColumnRenamed("phash", "b"), ["chunk", "value"]).where("a < b").select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
-    return near.where(F.col("distance") <= radius).distinct()
+    likely, maybe = options.likely_hamming_threshold, options.maybe_hamming_threshold
+    of = classes(fingerprints).groupBy("phash").agg(F.min("path").alias("path"), F.min("sha256").alias("sha"), (F.count("*") == 1).alias("one"))
+    left, right = (of.select(F.col("phash").alias(h), F.col("path").alias(f"{h}_path"), F.col("sha").alias(f"{h}_sha"), F.col("one").alias(f"{h}_one")) for h in ("a", "b"))
+    pairs = near_hashes(fingerprints, max(likely, maybe)).join(left, "a").join(right, "b")
+    pairs = pairs.where(~(F.col("a_one") & F.col("b_one") & F.col("a_sha").eqNullSafe(F.col("b_sha"))))
+    heads = of.where("NOT one").select("phash", F.col("path").alias("head"))
+    same = classes(fingerprints).join(heads, "phash").where("path <> head")
+    rows = pairs.select("a_path", "b_path", "distance").unionByName(same.select(F.col("head").alias("a_path"), F.col("path").alias("b_path"), F.lit(0).alias("distance")))
+    return _findings(rows, likely, maybe)
+
+
+def near_members(fingerprints: DataFrame) -> DataFrame:
+    """(path, sha256, class_path): every file with a hash, and the smallest path of that hash."""
+    heads = classes(fingerprints).groupBy("phash").agg(F.min("path").alias("class_path"))
+    return fingerprints.where("phash IS NOT NULL").join(heads, "phash").select("path", "sha256", "class_path")
+
+
+def _findings(rows: DataFrame, likely: int, maybe: int) -> DataFrame:
+    """Findings from (a_path, b_path, distance)."""
+    band = F.when(F.col("distance") <= likely, F.lit("Likely")).when(F.col("distance") <= maybe, F.lit("Maybe"))
+    found = rows.select(F.least("a_path", "b_path").alias("left_path"), F.greatest("a_path", "b_path").alias("right_path"), F.col("distance").alias("hamming_distance"), band.alias("band"), similarity(F.col("distance")).alias("score"))
+    return found.where("band IS NOT NULL")
 
 
 def near_findings(fingerprints: DataFrame, options: DuplicateOptions = DuplicateOptions()) -> DataFrame:
-    """(left_path, right_path, hamming_distance, band, score) of near pairs that aren't exact copies, by path order.
+    """(left_path, right_path, hamming_distance, band, score) of all near pairs of files that aren't exact copies.
 
-    Equal hashes of different files are found through their hash, near ones through ``near_hashes``.
+    The list grows with the square of the files of one hash; ``near_links`` with ``near_members`` says the same in fewer
+    rows.
     """
     likely, maybe = options.likely_hamming_threshold, options.maybe_hamming_threshold
-    radius = max(likely, maybe)
-    links = near_hashes(fingerprints, radius)
+    links = near_hashes(fingerprints, max(likely, maybe))
     rows = fingerprints.where("phash IS NOT NULL")
-    left, right = (rows.select(F.col("path").alias(f"{s}_path"), F.col("sha256").alias(f"{s}_sha"), F.col("phash").alias(f"{s}_hash")) for s in ("l", "r"))
-    different = links.join(left, F.col("a") == F.col("l_hash")).join(right, F.col("b") == F.col("r_hash")).select("l_path", "r_path", "l_sha", "r_sha", "distance")
-    same = left.join(right, (F.col("l_hash") == F.col("r_hash")) & (F.col("l_path") < F.col("r_path"))).select("l_path", "r_path", "l_sha", "r_sha", F.lit(0).alias("distance"))
-    band = F.when(F.col("distance") <= likely, F.lit("Likely")).when(F.col("distance") <= maybe, F.lit("Maybe"))
-    found = different.unionByName(same).where(~F.col("l_sha").eqNullSafe(F.col("r_sha")))
-    return found.select(F.least("l_path", "r_path").alias("left_path"), F.greatest("l_path", "r_path").alias("right_path"), F.col("distance").alias("hamming_distance"), band.alias("band"), similarity(F.col("distance")).alias("score")).where("band IS NOT NULL")
+    left, right = (rows.select(F.col("path").alias(f"{s}_path"), F.col("sha256").alias(f"{s}_sha"), F.col("phash").alias(f"{s}_hash")) for s in ("a", "b"))
+    different = links.join(left, F.col("a") == F.col("a_hash")).join(right, F.col("b") == F.col("b_hash")).select("a_path", "b_path", "a_sha", "b_sha", "distance")
+    same = left.join(right, (F.col("a_hash") == F.col("b_hash")) & (F.col("a_path") < F.col("b_path"))).select("a_path", "b_path", "a_sha", "b_sha", F.lit(0).alias("distance"))
+    return _findings(different.unionByName(same).where(~F.col("a_sha").eqNullSafe(F.col("b_sha"))), likely, maybe)
+
+
+def finding_order() -> list[Column]:
+    """Likely ones first, then by distance and paths."""
+    return [F.when(F.col("band") == "Likely", 0).otherwise(1), F.col("hamming_distance"), F.col("left_path"), F.col("right_path")]
+
 
+def group_order() -> list[Column]:
+    """By the group's number: near-2 before near-10."""
+    return [F.element_at(F.split("group_id", "-"), -1).cast("long")]
 
-def ordered_findings(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(F.when(F.col("band") == "Likely", 0).otherwise(1), "hamming_distance", "left_path", "right_path")
+
+def near_members_of_groups(fingerprints: DataFrame, options: DuplicateOptions = DuplicateOptions()) -> DataFrame:
+    """(path, component) of the files that likely findings join; a component is named by its smallest path."""
+    nodes = cut_lineage(_hash_components(fingerprints, options)[0])
+    return fingerprints.join(nodes, "phash").select("path", F.col("component.path").alias("component"))
+
+
+def _hash_components(fingerprints: DataFrame, options: DuplicateOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((phash, component struct(path, phash)), links (a, b, distance), hashes (phash, path, files, shas, squares))."""
+    likely, maybe = options.likely_hamming_threshold, options.maybe_hamming_threshold
+    links = cut_lineage(near_hashes(fingerprints, max(likely, maybe)))
+    of = cut_lineage(
+        classes(fingerprints).groupBy("phash").agg(F.min("path").alias("path"), F.sum("files").alias("files"), F.count("*").alias("shas"), F.min("sha256").alias("sha"), F.sum(F.col("files") * F.col("files")).alias("squares"))
+    )
+    node = F.struct("path", "phash")
+    left, right = (of.select(F.col("phash").alias(h), node.alias(f"{h}_node"), F.col("sha").alias(f"{h}_sha"), F.col("shas").alias(f"{h}_shas")) for h in ("a", "b"))
+    copies = (F.col("a_shas") == 1) & (F.col("b_shas") == 1) & F.col("a_sha").eqNullSafe(F.col("b_sha"))
+    near = links.where(F.col("distance") <= likely).join(left, "a").join(right, "b").where(~copies)
+    joined = connected_components(near.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst")))
+    alone = of.where("shas > 1").select(node.alias("node")).join(joined.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return joined.unionByName(alone).select(F.col("node.phash").alias("phash"), "component"), links, of
 
 
-def near_groups(findings: DataFrame) -> DataFrame:
+def near_groups(fingerprints: DataFrame, options: DuplicateOptions = DuplicateOptions()) -> DataFrame:
     """(group_id, paths, score, likely_pair_count, maybe_pair_count) of the groups that likely findings join.
 
     The score is the mean of all findings, maybe ones too, whose ends both lie in the group. Largest groups first, then
-    by smallest path.
+    by smallest path. Findings are counted by hash and never listed; ``paths`` is a list, as a report shows it:
+    ``near_members_of_groups`` has the members as rows.
     """
-    members = connected_components(findings.where("band = 'Likely'").select(F.col("left_path").alias("src"), F.col("right_path").alias("dst")))
-    of = lambda side: members.select(F.col("node").alias(f"{side}_path"), F.col("component").alias(f"{side}_group"))
-    inside = findings.join(of("left"), "left_path").join(of("right"), "right_path").where("left_group = right_group")
-    counts = inside.groupBy(F.col("left_group").alias("component")).agg(
-        F.avg("score").alias("score"), F.count_if(F.col("band") == "Likely").alias("likely_pair_count"), F.count_if(F.col("band") == "Maybe").alias("maybe_pair_count")
+    likely = options.likely_hamming_threshold
+    made, links, of = _hash_components(fingerprints, options)
+    nodes = cut_lineage(made)
+    group = lambda h: nodes.select(F.col("phash").alias(h), F.col("component").alias(f"{h}_group"))
+    files = lambda h: of.select(F.col("phash").alias(h), F.col("files").alias(f"{h}_files"))
+    inside = links.join(group("a"), "a").join(group("b"), "b").where("a_group = b_group").join(files("a"), "a").join(files("b"), "b")
+    # copies of one file under two hashes are no finding
+    of_class = classes(fingerprints)
+    shared = inside.select("a", "b").join(of_class.select(F.col("phash").alias("a"), "sha256", F.col("files").alias("x")), "a").join(of_class.select(F.col("phash").alias("b"), F.col("sha256").alias("sha"), F.col("files").alias("y")), "b")
+    shared = shared.where(F.col("sha256").eqNullSafe(F.col("sha"))).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("copies"))
+    between = inside.join(shared, ["a", "b"], "left").select(F.col("a_group").alias("component"), "distance", (F.col("a_files") * F.col("b_files") - F.coalesce("copies", F.lit(0))).alias("n"))
+    within = of.join(nodes, "phash").select("component", F.lit(0).alias("distance"), ((F.col("files") * F.col("files") - F.col("squares")) / 2).cast("long").alias("n"))
+    counts = between.unionByName(within).groupBy("component").agg(
+        (F.sum(similarity(F.col("distance")) * F.col("n")) / F.sum("n")).alias("score"),
+        F.sum(F.when(F.col("distance") <= likely, F.col("n")).otherwise(0)).alias("likely_pair_count"),
+        F.sum(F.when(F.col("distance") > likely, F.col("n")).otherwise(0)).alias("maybe_pair_count"),
     )
-    paths = members.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("paths"), F.count("*").alias("n"))
-    ranked = numbered(paths.join(counts, "component"), [F.desc("n"), "component"])  # a component is named by its smallest path
+    paths = fingerprints.join(nodes, "phash").groupBy("component").agg(F.array_sort(F.collect_list("path")).alias("paths"), F.count("*").alias("n"))
+    ranked = numbered(paths.join(counts, "component"), [F.desc("n"), "component"])
     return ranked.select(F.concat(F.lit("near-"), F.col("number").cast("string")).alias("group_id"), "paths", "score", "likely_pair_count", "maybe_pair_count")

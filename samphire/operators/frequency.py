@@ -16,12 +16,12 @@ def sample_counts(samples: DataFrame, tags_col: str = "tags") -> DataFrame:
 
 
 def term_frequency(samples: DataFrame, tags_col: str = "tags") -> DataFrame:
-    """(tag, n): all occurrences."""
+    """(tag, n): all occurrences. Null and empty lists have none, a null tag is a tag, repeated rows count each."""
     return samples.select(F.explode(tags_col).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def document_frequency(samples: DataFrame, tags_col: str = "tags") -> DataFrame:
-    """(tag, df): samples that hold the tag."""
+    """(tag, df): rows that hold the tag, once or often. Null and empty lists hold none, a null tag is a tag."""
     return samples.select(F.explode(F.array_distinct(tags_col)).alias("tag")).groupBy("tag").agg(F.count("*").alias("df"))
 
 
@@ -32,21 +32,32 @@ def probabilities(frequency: DataFrame) -> DataFrame:
 
 
 def pairs(samples: DataFrame, tags_col: str = "tags", frequent: DataFrame | None = None) -> DataFrame:
-    """(left, right) of each sample's distinct tags in order, made within the sample.
+    """(left, right, times) of each sample's distinct tags in order, made within the sample; null tags make none.
 
     ``frequent`` (tag): tags outside it make no pair. A pair's support is no more than either tag's, so tags below the
-    least support can go first; that keeps samples with very many rare tags from making their square in pairs.
+    least support can go first; that keeps samples with very many rare tags from making their square in pairs. A sample
+    is a row, whatever its id: rows with equal sets of tags are one group that counts ``times``.
     """
+    distinct = F.array_sort(F.array_compact(F.array_distinct(tags_col)))
     if frequent is None:
-        listed = samples.select(F.array_sort(F.array_distinct(tags_col)).alias("t"))
+        listed = samples.select(distinct.alias("t"), F.lit(1).cast("long").alias("times"))
     else:
-        rows = samples.select(F.col("sample_id"), F.explode(F.array_distinct(tags_col)).alias("tag"))
-        listed = rows.join(frequent.select("tag"), "tag", "left_semi").groupBy("sample_id").agg(F.array_sort(F.collect_list("tag")).alias("t"))
+        rows = samples.select(distinct.alias("t")).where(F.size("t") > 1)
+        rows = rows.select(F.sha2(F.to_json("t").cast("binary"), 256).alias("row"), F.explode("t").alias("tag"))
+        kept = rows.join(frequent.select("tag"), "tag", "left_semi")
+        # equal rows repeat each of their tags equally often
+        held = F.collect_set("tag")
+        listed = kept.groupBy("row").agg(F.array_sort(held).alias("t"), (F.count("*") / F.size(held)).cast("long").alias("times"))
     made = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("left"), y.alias("right")))))
-    return listed.select(F.explode(made).alias("pair")).select("pair.left", "pair.right")
+    return listed.select(F.explode(made).alias("pair"), "times").select("pair.left", "pair.right", "times")
 
 
-def pair_counts(samples: DataFrame, tags_col: str = "tags", min_support: int = 1) -> DataFrame:
-    """(left, right, c) of pairs in ``min_support`` samples or more."""
-    frequent = document_frequency(samples, tags_col).where(F.col("df") >= min_support) if min_support > 1 else None
-    return pairs(samples, tags_col, frequent).groupBy("left", "right").agg(F.count("*").alias("c")).where(F.col("c") >= min_support)
+def pair_counts(samples: DataFrame, tags_col: str = "tags", min_support: int = 1, documents: DataFrame | None = None) -> DataFrame:
+    """(left, right, c) of pairs in ``min_support`` samples or more.
+
+    ``documents`` (tag, df): ``document_frequency`` of the same samples, if it is at hand.
+    """
+    frequent = None
+    if min_support > 1:
+        frequent = (document_frequency(samples, tags_col) if documents is None else documents).where(F.col("df") >= min_support)
+    return pairs(samples, tags_col, frequent).groupBy("left", "right").agg(F.sum("times").alias("c")).where(F.col("c") >= min_support)

@@ -8,45 +8,25 @@ from pyspark.sql import functions as F
 
 from samphire.checkpoints import cut_lineage
 
-#: Graphs of at most this many edges are joined on the driver, which takes one job in place of several for each round.
-LOCAL_EDGES = 100_000
-
-
-def _local_components(edges: list[tuple]) -> dict:
-    """Smallest node of each node's component, by union-find."""
-    head: dict = {}
-
-    def find(x):
-        while head[x] != x:
-            head[x] = head[head[x]]
-            x = head[x]
-        return x
-
-    for a, b in edges:
-        head.setdefault(a, a)
-        head.setdefault(b, b)
-        a, b = find(a), find(b)
-        head[max(a, b)] = min(a, b)
-    return {x: find(x) for x in head}
-
 
 def connected_components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
-    """(node, component) of every node with an edge; the component is its smallest node.
+    """(node, component) of every node with an edge to another one; the component is its smallest node.
+
+    Nodes may be of any type that has an order, structs too: a struct that begins with what is wanted of a component's
+    smallest node needs no join afterwards. Edges with a null end, of a node to itself and repeated ones add nothing; an
+    empty table gives none.
 
-    Above LOCAL_EDGES: alternating large-star and small-star steps, O(log n) rounds whatever the diameter. Rounds are
-    checkpointed in the shared folder; each is two shuffles on node ids.
+    Alternating large-star and small-star steps, O(log n) rounds whatever the diameter. Rounds are checkpointed in the
+    shared folder; each is two shuffles on nodes.
     """
-    stars = edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct()
-    few = stars.limit(LOCAL_EDGES + 1).collect()
-    if len(few) <= LOCAL_EDGES:
-        kind = stars.schema["u"].dataType.simpleString()
-        return edges.sparkSession.createDataFrame(sorted(_local_components([tuple(r) for r in few]).items()), f"node {kind}, component {kind}")
-    stars = cut_lineage(stars)
+    stars = cut_lineage(edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct())
     before = None
     while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # large star: the greater neighbours of each node go to its smallest one
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: the smaller neighbours and the node itself go to its smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         stars = cut_lineage(small.where("u <> v").distinct())

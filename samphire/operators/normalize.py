@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samphire.config import NormalizationRules
@@ -32,8 +34,23 @@ def unify_delimiters(x: Column, rules: NormalizationRules) -> Column:
     return strip(F.aggregate(F.sequence(F.lit(0), F.length(out)), out, step))
 
 
-def _normal_literals(values: list[str], rules: NormalizationRules) -> Column:
-    return F.transform(F.array(*[F.lit(v) for v in values]).cast("array<string>"), lambda v: unify_delimiters(fold(v), rules))
+def _normalized(values: list[str], rules: NormalizationRules) -> list[str]:
+    """``values`` as tokens come out of case folding and delimiters, by the same expressions."""
+    spark = SparkSession.getActiveSession()
+    table = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    return [r["v"] for r in table.select("i", unify_delimiters(fold(F.col("v")), rules).alias("v")).orderBy("i").collect()]  # the rules' own size
+
+
+def _lookup(pairs: dict[str, str], key: Column) -> Column:
+    """The key's value, or null. A literal of small maps, one for each value of a hash: the time doesn't grow with the table."""
+    size = max(1, len(pairs) // 4)
+    spark = SparkSession.getActiveSession()
+    hashes = spark.createDataFrame([(k,) for k in pairs], "k string").select("k", F.pmod(F.xxhash64("k"), F.lit(size)).alias("h")).collect()
+    slots: list[dict[str, str]] = [{} for _ in range(size)]
+    for row in hashes:
+        slots[row["h"]][row["k"]] = pairs[row["k"]]
+    table = F.from_json(F.lit(json.dumps(slots)), "array<map<string,string>>")  # constant: folded once
+    return F.try_element_at(F.element_at(table, (F.pmod(F.xxhash64(key), F.lit(size)) + 1).cast("int")), key)
 
 
 def _event(action: str, before: Column, after: Column, message: Column | None = None) -> Column:
@@ -43,11 +60,10 @@ def _event(action: str, before: Column, after: Column, message: Column | None =
 
 def token_results(tags: Column, rules: NormalizationRules) -> Column:
     """array of (original, normalized, is_filtered, audit) of an array of tokens; null tokens read as empty."""
-    keys, values = list(rules.aliases), list(rules.aliases.values())
-    if keys:
-        # of keys that become equal the last one wins
-        pairs = F.arrays_zip(_normal_literals(keys, rules).alias("k"), _normal_literals(values, rules).alias("v"))
-    stops = _normal_literals(list(rules.stop_tags), rules)
+    told = _normalized([*rules.aliases, *rules.aliases.values(), *rules.stop_tags], rules) if rules.aliases or rules.stop_tags else []
+    n = len(rules.aliases)
+    aliases = dict(zip(told[:n], told[n : 2 * n], strict=True))  # of keys that become equal the last one wins
+    stops = {tag: "" for tag in told[2 * n :]}
 
     def one(token: Column) -> Column:
         original = F.coalesce(token, F.lit(""))
@@ -56,11 +72,11 @@ def token_results(tags: Column, rules: NormalizationRules) -> Column:
         return F.struct(original.alias("original"), folded.alias("folded"), unified.alias("unified"))
 
     def aliased(t: Column) -> Column:
-        mapped = F.coalesce(F.try_element_at(F.transform(F.filter(pairs, lambda p: p["k"] == t["unified"]), lambda p: p["v"]), F.lit(-1)), t["unified"]) if keys else t["unified"]
+        mapped = F.coalesce(_lookup(aliases, t["unified"]), t["unified"]) if aliases else t["unified"]
         return F.struct(t["original"].alias("original"), t["folded"].alias("folded"), t["unified"].alias("unified"), mapped.alias("mapped"))
 
     def judged(t: Column) -> Column:
-        stopped = F.array_contains(stops, t["mapped"]) if rules.stop_tags else F.lit(False)
+        stopped = _lookup(stops, t["mapped"]).isNotNull() if stops else F.lit(False)
         normalized = F.when(~stopped, t["mapped"])
         message = F.when(stopped, F.lit("Filtered by stop-tag rule.")).otherwise(F.lit("Token retained."))
         audit = F.array(

@@ -21,15 +21,15 @@ from samphire.plans.report import metrics_report
 from samphire.sources import rules as rule_files
 from samphire.sources import scan, sinks
 
-#: Stages with their percent; duplicates come before the metrics, which read their groups.
+#: Names and percent of the stages; duplicates come before the metrics, which read their groups.
 STAGES = (
-    ("validate", 5, "Validating request and input paths."),
-    ("scan", 20, "Scanning dataset and sidecars."),
-    ("normalize", 45, "Normalizing tags and building audit trail."),
-    ("dedupe", 60, "Computing exact and near-duplicate groups."),
-    ("metrics", 80, "Computing health metrics M1-M11."),
-    ("recommend", 95, "Running rule-based recommendations."),
-    ("finalize", 100, "Preparing result artifacts."),
+    ("validate", 5, "checking the request"),
+    ("scan", 20, "reading images and captions"),
+    ("normalize", 45, "normalizing tags"),
+    ("dedupe", 60, "looking for copies"),
+    ("metrics", 80, "measuring tags"),
+    ("recommend", 95, "applying rules"),
+    ("finalize", 100, "results are written"),
 )
 QUEUED, RUNNING, COMPLETED, FAILED, CANCELED = "Queued", "Running", "Completed", "Failed", "Canceled"
 
@@ -106,6 +106,9 @@ class JobRunner:
                 raise
         finally:
             status.updated_at = status.finished_at = datetime.now(timezone.utc)
+            status.log.append((status.finished_at, "Error" if status.state == FAILED else "Information", f"{status.state} {status.error or ''}".rstrip()))
+            if request.output_dir and request.output_dir.strip():
+                sinks.write_log(status.log, str(Path(request.output_dir) / "job.log"))
             self.progress(status)
         return status
 
@@ -120,7 +123,7 @@ class JobRunner:
         self._enter("scan")
         records = cut_lineage(scan.image_records(self.spark, request.input_dir))
         made["dataset_jsonl"], made["summary_index"] = str(out / "dataset.jsonl"), str(out / "summary.json")
-        sinks.write_json_lines(records, made["dataset_jsonl"], "relative_image_path")
+        sinks.write_json_lines(records, made["dataset_jsonl"], ["relative_image_path"])
         sinks.write_json(scan.summarize(records).first().asDict() | {"dataset_directory": request.input_dir, "jsonl_path": made["dataset_jsonl"], "summary_path": made["summary_index"]}, made["summary_index"])
         self._enter("normalize")
         tagged = records.select(F.col("relative_image_path").alias("sample_id"), normalize.split_caption(F.coalesce("caption_sources.booru_tags", "caption_sources.short_caption")).alias("tags"))
@@ -146,12 +149,17 @@ class JobRunner:
         glob = "*.{" + ",".join(scan._any_case(e) for e in scan.IMAGE_EXTENSIONS) + "}"
         images = self.spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("dropInvalid", "true").load(request.input_dir)
         prints = cut_lineage(fingerprints(scan.binary_files(self.spark, request.input_dir, scan.IMAGE_EXTENSIONS), images))
-        findings = cut_lineage(duplicates.near_findings(prints, self.duplicate_options))
-        exact, near = duplicates.exact_groups(prints), cut_lineage(duplicates.near_groups(findings))
+        options = self.duplicate_options
+        exact, near = cut_lineage(duplicates.exact_groups(prints)), cut_lineage(duplicates.near_groups(prints, options))
         made["duplicates_json"] = str(out / "duplicates")
-        for name, frame, order in (("exact_groups", exact, "group_id"), ("near_groups", near, "group_id"), ("near_findings", findings, "left_path")):
+        artifacts = [("exact_groups", exact, duplicates.group_order()), ("near_groups", near, duplicates.group_order())]
+        if options.list_all_pairs:
+            artifacts.append(("near_findings", duplicates.near_findings(prints, options), duplicates.finding_order()))
+        else:
+            artifacts += [("near_findings", duplicates.near_links(prints, options), duplicates.finding_order()), ("near_members", duplicates.near_members(prints), ["class_path", "path"])]
+        for name, frame, order in artifacts:
             sinks.write_json_lines(frame, f"{made['duplicates_json']}/{name}", order)
         keyed = near.select(F.explode("paths").alias("path"), "group_id").unionByName(exact.select(F.explode("paths").alias("path"), "group_id"))
         of = keyed.groupBy("path").agg(F.max("group_id").alias("group_key"))  # a near group before an exact one
-        relative = F.expr("url_decode(replace(substring(path, {}), '+', '%2B'))".format(len(root) + 2))
+        relative = F.substring("path", len(root) + 2, 1 << 30)
         return records.select(F.col("relative_image_path").alias("sample_id")).join(of.select(relative.alias("sample_id"), "group_key"), "sample_id", "left")

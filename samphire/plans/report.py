@@ -15,15 +15,16 @@ def metrics_report(samples: DataFrame, options: MetricsOptions = MetricsOptions(
     """One row of all metrics of ``samples`` (sample_id, tags).
 
     ``groups`` (sample_id, group_key): a near-duplicate group for each sample; without it, or with another number of
-    rows, the rate is null. Tables of counts are checkpointed, as several metrics read each.
+    rows, the rate is null. Samples and tables of counts are checkpointed, as several metrics read each.
     """
     spark = samples.sparkSession
+    samples = cut_lineage(samples.select("tags"))
     sized = counts.sample_counts(samples).first()
     n = sized["sample_count"]
     frequency = cut_lineage(counts.term_frequency(samples))
     documents = cut_lineage(counts.document_frequency(samples))
     least = max(1, min(options.min_cooccurrence_for_pmi, options.community_edge_weight_threshold))
-    pairs = cut_lineage(counts.pair_counts(samples, min_support=least))
+    pairs = cut_lineage(counts.pair_counts(samples, min_support=least, documents=documents))
 
     stops = metrics.stop_tags(documents, n, options.min_document_frequency_for_stop_candidate, options.max_stop_tag_candidates)
     pmi = metrics.pointwise_mutual_information(pairs, documents, n, options.min_cooccurrence_for_pmi, options.max_pmi_anomalies)

@@ -42,7 +42,7 @@ class JobBoard:
             try:
                 runner.run(request)
             except Exception as error:  # its type is in the status; texts may hold paths
-                runner.status.log.append((datetime.now(timezone.utc), "Error", f"Job failed: {type(error).__name__}"))
+                runner.status.log.append((datetime.now(timezone.utc), "Error", f"ended by {type(error).__name__}"))
 
         threading.Thread(target=work, name=f"job-{runner.status.job_id}", daemon=True).start()
         return runner.status.job_id
@@ -75,14 +75,14 @@ def answer(board: JobBoard, settings: dict[str, bool], method: str, path: str, b
         try:
             request = JobRequest(**{REQUEST_FIELDS[k]: v for k, v in (body or {}).items() if k in REQUEST_FIELDS})
         except TypeError:
-            return 400, {"message": "inputDir and outputDir are expected."}
+            return 400, {"message": "a request needs inputDir and outputDir"}
         return 202, {"jobId": board.start(request)}
     if not (found := re.fullmatch(r"/jobs/([0-9a-f-]+)(/cancel|/logs|/result)?", path)):
         return 404, None
     job_id, part = found.groups()
     status = board.status(job_id)
     if (method, part) == ("POST", "/cancel"):
-        return (200, {"jobId": job_id, "canceled": True}) if board.cancel(job_id) else (404, {"message": "Job not found or cannot be canceled."})
+        return (200, {"jobId": job_id, "canceled": True}) if board.cancel(job_id) else (404, {"message": "no such job, or it is over"})
     if status is None or method != "GET" or part == "/cancel":
         return 404, None
     if part == "/logs":
@@ -90,7 +90,7 @@ def answer(board: JobBoard, settings: dict[str, bool], method: str, path: str, b
     if part == "/result":
         if status.finished_at is None:
             return 404, None
-        error = "Cancellation requested." if status.state == CANCELED else status.error and f"FailureType={status.error}"
+        error = "canceled" if status.state == CANCELED else status.error
         return 200, {"jobId": job_id, "state": status.state, "outputs": {camel(k): v for k, v in status.outputs.items()}, "error": error, "finishedAtUtc": _time(status.finished_at)}
     return 200, told(status)
 
@@ -106,7 +106,7 @@ def serve(spark: SparkSession, host: str = "127.0.0.1", port: int = 0, make_runn
                 body = json.loads(self.rfile.read(size)) if size else None
                 code, out = answer(board, settings, method, self.path.split("?")[0], body)
             except (ValueError, AttributeError):
-                code, out = 400, {"message": "JSON is expected."}
+                code, out = 400, {"message": "the body is not JSON"}
             raw = b"" if out is None else json.dumps(out).encode()
             self.send_response(code)
             self.send_header("Content-Type", "application/json")

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samphire.config import DuplicateOptions, MetricsOptions, NormalizationRules
-from samphire.functions import text
+from samphire.functions import images, text
 from samphire.operators import duplicates, graph, metrics, normalize, recommend
 from samphire.operators import frequency as counts
 from samphire.plans.report import metrics_report
-from samphire.sources import scan
+from samphire.sources import rules as rule_files
+from samphire.sources import scan, sinks
 from samphire.sources.rules import Condition, Rule
 from samphire.streaming.counts import windowed_tag_counts
 
@@ -27,7 +28,7 @@ ORACLES: dict[str, str] = {}
 TARGET = {"economy": 3.0, "small": 1.0, "standard": 2.0, "unseen": 1.0}
 RULES = NormalizationRules(" ", ("#", "_", "-"), {"Economy": "eco", "brand 11": "house"}, ("promo", "brand-12"))
 EDGE, SUPPORT, LIMIT = 4000, 2, 15
-BANDS = DuplicateOptions(8, 10)
+BANDS = DuplicateOptions()
 ADVICE = [
     Rule("broad", "Many tags in use.", "Info", (Condition("uniqueTagCount", "GreaterThan", 10.0), Condition("topKMass:1", "LessThan", 0.5))),
     Rule("drift", "Far from the target.", "Warning", (Condition("jsdToTarget", "GreaterThanOrEqual", 0.01),)),
@@ -308,23 +309,27 @@ def exact_members(spark, sf_dir):
     return duplicates.exact_members(_document_prints(spark, sf_dir))
 
 
-def _vector_prints(spark, sf_dir):
-    """Signs of 40 components of embeddings as fingerprints; equal vectors count as equal files."""
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 40), lambda x: F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
-    return table(spark, sf_dir, "embeddings").select(F.format_string("v%07d", "vec_id").alias("path"), F.sha2(F.col("embedding").cast("string"), 256).alias("sha256"), bits.alias("phash"))
+def _prints(spark, sf_dir):
+    """Documents as files with 64-bit hashes: twenty in a row share a hash but for up to eight bits; every 500th id is a copy."""
+    word = lambda at: F.conv(F.substring(F.md5(F.floor(F.col("doc_id") / 20).cast("string")), at, 8), 16, 10).cast("long")
+    base = F.shiftleft(word(1), 32).bitwiseOR(word(9)).alias("base")
+    flipped = F.expr("aggregate(sequence(1, 8), base, (a, j) -> if(j <= doc_id % 9, a ^ shiftleft(1L, cast((doc_id * (2 * j + 1) + j) % 64 AS int)), a))")
+    docs = table(spark, sf_dir, "documents").select("doc_id", base).select("doc_id", flipped.alias("phash"))
+    return docs.select(F.format_string("v%07d", "doc_id").alias("path"), F.concat(F.lit("s"), (F.col("doc_id") % 500).cast("string")).alias("sha256"), "phash")
 
 
-PRINTS = f"""signs AS (SELECT printf('v%07d', vec_id) AS path, CAST(embedding AS VARCHAR) AS sha, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
-prints AS (SELECT path, sha, list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(s[1:32], lambda b: CASE WHEN b THEN CAST(1 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END)), lambda a, b: CAST(a * 2 + b AS UBIGINT)) AS hi,
-  list_reduce(list_prepend(CAST(0 AS UBIGINT), list_transform(s[33:40], lambda b: CASE WHEN b THEN CAST(1 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END)), lambda a, b: CAST(a * 2 + b AS UBIGINT)) AS lo FROM signs),
-near AS (SELECT a.path AS left_path, b.path AS right_path, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS d
-  FROM prints a JOIN prints b ON a.path < b.path AND a.sha <> b.sha AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {BANDS.maybe_hamming_threshold}),
+PRINTS = f"""words AS (SELECT doc_id, md5(CAST(doc_id // 20 AS VARCHAR)) AS m FROM documents),
+based AS (SELECT doc_id, CAST('0x' || substr(m, 1, 8) AS UBIGINT) * 4294967296 + CAST('0x' || substr(m, 9, 8) AS UBIGINT) AS h FROM words),
+prints AS (SELECT printf('v%07d', doc_id) AS path, 's' || CAST(doc_id % 500 AS VARCHAR) AS sha,
+  list_reduce(list_prepend(CAST(h AS UBIGINT), list_transform(range(1, doc_id % 9 + 1), lambda j: CAST(1 AS UBIGINT) << CAST((doc_id * (2 * j + 1) + j) % 64 AS UBIGINT))), lambda a, b: xor(a, b)) AS h FROM based),
+near AS (SELECT a.path AS left_path, b.path AS right_path, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS d
+  FROM prints a JOIN prints b ON a.path < b.path AND a.sha <> b.sha AND bit_count(xor(a.h, b.h)) <= {BANDS.maybe_hamming_threshold}),
 findings AS (SELECT *, CASE WHEN d <= {BANDS.likely_hamming_threshold} THEN 'Likely' ELSE 'Maybe' END AS band FROM near)"""
 
 
 @query(f"WITH {PRINTS} SELECT left_path, right_path, d AS hamming_distance, band, round(1 - d / 64.0::DOUBLE, 6) AS score FROM findings")
 def near_findings(spark, sf_dir):
-    return duplicates.near_findings(_vector_prints(spark, sf_dir), BANDS).withColumn("score", F.round("score", 6))
+    return duplicates.near_findings(_prints(spark, sf_dir), BANDS).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -338,10 +343,7 @@ SELECT 'near-' || row_number() OVER (ORDER BY n DESC, g.component) AS group_id,
 FROM groups g JOIN (SELECT component, avg(1 - d / 64.0::DOUBLE) AS score, count(*) FILTER (WHERE band = 'Likely') AS likely_pair_count, count(*) FILTER (WHERE band = 'Maybe') AS maybe_pair_count FROM inside GROUP BY component) USING (component)"""
 )
 def near_groups(spark, sf_dir):
-    from samphire.checkpoints import cut_lineage
-
-    findings = cut_lineage(duplicates.near_findings(_vector_prints(spark, sf_dir), BANDS))
-    return duplicates.near_groups(findings).select("group_id", F.array_join("paths", ",").alias("paths"), F.round("score", 6).alias("score"), "likely_pair_count", "maybe_pair_count")
+    return duplicates.near_groups(_prints(spark, sf_dir), BANDS).select("group_id", F.array_join("paths", ",").alias("paths"), F.round("score", 6).alias("score"), "likely_pair_count", "maybe_pair_count")
 
 
 def _caption_files(spark, sf_dir):
@@ -365,12 +367,12 @@ def caption_fallback(spark, sf_dir):
 
 def _image_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    images = docs.where(F.col("doc_id") % 5 == 0).select(F.concat(F.lit("/d/"), F.floor(F.col("doc_id") / 5).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit(".PNG")).otherwise(F.lit(".jpg"))).alias("path"), F.col("n_chars").cast("int").alias("width"), (F.col("doc_id") % 100).cast("int").alias("height"))
-    found = scan.with_captions(images, scan.captions(_caption_files(spark, sf_dir)))
+    rows = docs.select(F.concat(F.lit("/d/"), F.floor(F.col("doc_id") / 5).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit(".PNG")).otherwise(F.lit(".jpg"))).alias("path"), F.col("n_chars").cast("int").alias("width"), (F.col("doc_id") % 100).cast("int").alias("height"))
+    found = scan.with_captions(rows, scan.captions(_caption_files(spark, sf_dir)))
     return found.withColumnRenamed("path", "relative_image_path")
 
 
-IMAGES = f"""{CAPTIONS}, img AS (SELECT '/d/' || CAST(doc_id // 5 AS VARCHAR) AS base, CASE WHEN doc_id % 2 = 0 THEN '.png' ELSE '.jpg' END AS ext, n_chars AS w, doc_id % 100 AS h FROM documents WHERE doc_id % 5 = 0),
+IMAGES = f"""{CAPTIONS}, img AS (SELECT '/d/' || CAST(doc_id // 5 AS VARCHAR) AS base, CASE WHEN doc_id % 2 = 0 THEN '.png' ELSE '.jpg' END AS ext, n_chars AS w, doc_id % 100 AS h FROM documents),
 rec AS (SELECT img.*, booru_tags IS NOT NULL AS b, short_caption IS NOT NULL AS s, style_tags IS NOT NULL AS y FROM img LEFT JOIN c USING (base))"""
 
 
@@ -454,5 +456,151 @@ def windowed_event_counts(spark, sf_dir):
     return windowed_tag_counts(table(spark, sf_dir, "events"), "ts", "event_type").select(F.col("window.start").alias("window_start"), "tag", "n")
 
 
+@query(
+    """WITH t AS (SELECT row_number() OVER () AS row, lower(p_name || ' ' || p_type) AS words FROM lineitem JOIN part ON l_partkey = p_partkey),
+r AS (SELECT row, unnest(list_distinct(string_split(words, ' '))) AS tag FROM t)
+SELECT a.tag AS left_tag, b.tag AS right_tag, count(*) AS c FROM r a JOIN r b ON a.row = b.row AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= 20"""
+)
+def pair_counts_by_row(spark, sf_dir):
+    """Samples whose ids repeat or are null: each row is a sample."""
+    words = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")
+    parts = table(spark, sf_dir, "part").select("p_partkey", words.alias("tags"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_orderkey") % 3).alias("sample_id"))
+    samples = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("sample_id", "tags")
+    return counts.pair_counts(samples, min_support=20).select(F.col("left").alias("left_tag"), F.col("right").alias("right_tag"), "c")
+
+
+@query(
+    f"""WITH {TOK}, g AS (SELECT DISTINCT sample_id, CASE WHEN sample_id % 3 = 0 THEN 'g' || CAST(sample_id % 100 AS VARCHAR) WHEN sample_id % 3 = 1 THEN ' ' END AS k FROM tok),
+sized AS (SELECT k, count(*) AS n FROM g GROUP BY k)
+SELECT 'nearDuplicateRate' AS signal, round(sum(CASE WHEN n > 1 AND trim(k) <> '' THEN n ELSE 0 END)::DOUBLE / sum(n), 6) AS value FROM sized"""
+)
+def near_duplicate_signal(spark, sf_dir):
+    samples = baskets(spark, sf_dir)
+    key = F.when(F.col("sample_id") % 3 == 0, F.concat(F.lit("g"), (F.col("sample_id") % 100).cast("string"))).when(F.col("sample_id") % 3 == 1, F.lit(" "))
+    report = metrics_report(samples, OPTIONS, samples.select("sample_id", key.alias("group_key")))
+    return recommend.report_signals(report).where("signal = 'nearDuplicateRate'").select("signal", F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""WITH RECURSIVE {SIGNALS}, asked(rule_id, pos, signal, operator, expected) AS (VALUES
+  ('broad', 0, 'uniqueTagCount', 'GreaterThan', 10.0::DOUBLE), ('broad', 1, 'topKMass:1', 'LessThan', 0.5), ('drift', 0, 'jsdToTarget', 'GreaterThanOrEqual', 0.01),
+  ('same', 0, 'communityCount', 'NotEqual', -1.0), ('same', 1, 'hhi', 'LessThanOrEqual', 1.0), ('same', 2, 'stopTagCandidatesCount', 'Equal', {LIMIT}.0))
+SELECT rule_id, CAST(pos AS INTEGER) AS pos, asked.signal, operator, expected AS expected_value, round(value, 4) AS actual_value, true AS is_match, 'Condition matched.' AS explanation
+FROM asked JOIN signals ON asked.signal = signals.signal"""
+)
+def recommend_conditions(spark, sf_dir):
+    more = Rule("same", "Every other comparison.", "Warning", (Condition("communityCount", "NotEqual", -1.0), Condition("hhi", "LessThanOrEqual", 1.0), Condition("stopTagCandidatesCount", "Equal", float(LIMIT))))
+    found = recommend.evaluate(recommend.report_signals(_report(spark, sf_dir)), recommend.rules_frame(spark, [*ADVICE, more]))
+    each = found.select("rule_id", F.posexplode("conditions").alias("pos", "c"))
+    return each.select("rule_id", "pos", "c.signal", "c.operator", "c.expected_value", F.round("c.actual_value", 4).alias("actual_value"), "c.is_match", "c.explanation")
+
+
+RULE_JSON = '''{"RULES": [{"Id": "one", "severity": 1, "conditions": [{"signal": "hhi", "operator": "lessthan", "value": 0.5}, {"signal": "topKMass: 5", "operator": 1, "value": 2}]},
+  {"id": " ", "severity": "Info"}, {"id": "two", "description": "d", "severity": "critical", "conditions": []}]}'''
+RULE_YAML = "rules:\n- id: three\n  severity: Info\n  conditions:\n  - {signal: gini, operator: NotEqual, value: 0}\n"
+
+
+@query(
+    """SELECT CAST(r AS VARCHAR) AS rule_id, s AS severity, CAST(n AS INTEGER) AS pos, g AS signal, o AS operator, v::DOUBLE AS value FROM (VALUES
+  ('one', 'Warning', 0, 'hhi', 'LessThan', 0.5), ('one', 'Warning', 1, 'topKMass: 5', 'GreaterThanOrEqual', 2.0), ('two', 'Critical', -1, '', '', 0.0), ('three', 'Info', 0, 'gini', 'NotEqual', 0.0)) AS t(r, s, n, g, o, v)"""
+)
+def parsed_rules(spark, sf_dir):
+    rules = [*rule_files.recommendation_rules_json(RULE_JSON), *rule_files.recommendation_rules_yaml(RULE_YAML)]
+    rows = recommend.rules_frame(spark, rules).select("rule_id", "severity", F.posexplode_outer("conditions").alias("pos", "c"))
+    return rows.select("rule_id", "severity", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce("c.signal", F.lit("")).alias("signal"), F.coalesce("c.operator", F.lit("")).alias("operator"), F.coalesce("c.value", F.lit(0.0)).alias("value"))
+
+
+@query("SELECT n_name, trim(replace(replace(lower(n_name), ' ', '_'), 'u', '_')) AS normalized FROM nation")
+def normalize_by_rule_file(spark, sf_dir):
+    rules = rule_files.normalization_rules('{"CANONICALDELIMITER": "_", "delimiters": ["u", "  "], "stopTags": null}')
+    names = table(spark, sf_dir, "nation").select("n_name", F.array(F.replace("n_name", F.lit(" "), F.lit("U"))).alias("tags"))
+    single = normalize.normalize(names, rules).select("n_name", F.col("normalized_tags")[0].alias("normalized"))
+    return single
+
+
+@query("SELECT DISTINCT '/d/' || CAST(doc_id % 50 AS VARCHAR) AS path FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0")
+def distinct_paths(spark, sf_dir):
+    path = F.when(F.col("doc_id") % 7 == 0, F.lit(" \t")).when(F.col("doc_id") % 11 != 0, F.concat(F.lit("/d/"), (F.col("doc_id") % 50).cast("string")))
+    return scan.clean_paths(table(spark, sf_dir, "documents").select(path.alias("path")))
+
+
+#: Files of the scan queries as (path, bytes in hexadecimal): images by their headers, captions by their marks.
+IMAGE_FILES = {
+    "/r/a.png": "89504E470D0A1A0A0000000D49484452000000050000000708020000",
+    "/r/deep/b.GIF": "47494638396103000400",
+    "/r/c.jpg": "FFD8FFE000064A46FFFFFFC20011080102020304010203040506070809FFDA",
+    "/r/d.tiff": "4D4D002A00000008000201000003000000010009000001010004000000010001000000000000",
+    "/r/e.bmp": "424D000000000000000000000000280000000B000000F4FFFFFF",
+}
+CAPTION_FILES = {
+    "/r/a.booru.txt": "EFBBBF6F6E652C2074776F",
+    "/r/a.tags.txt": "73706172652074616773",
+    "/r/a.style.txt": "FFFE000070000000F400010020000000",
+    "/r/deep/b.txt": "FEFF00200077D83DDE0000200020DC00006441",
+    "/r/deep/b.caption.txt": "20090A",
+    "/r/c.caption.txt": "FFFE6300610066000A00E900",
+    "/r/d.txt": "61FF62",
+}
+
+
+def _files(spark, files: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(files.items()), "path string, hex string").select("path", F.unhex("hex").alias("content"))
+
+
+def _values(files: dict[str, str]) -> str:
+    return ", ".join(f"('{p}', '{h}')" for p, h in files.items())
+
+
+@query(
+    f"""WITH files(path, hex) AS (VALUES {_values(IMAGE_FILES)}),
+told(path, width, height, booru_tags, short_caption, style_tags) AS (VALUES
+  ('a.png', 5, 7, 'one, two', NULL, 'p' || chr(65780)), ('deep/b.GIF', 3, 4, NULL, 'w' || chr(128512) || ' ' || chr(65533) || 'd' || chr(65533), NULL),
+  ('c.jpg', 515, 258, NULL, 'caf ' || chr(233), NULL), ('d.tiff', 9, 65536, NULL, 'a' || chr(65533) || 'b', NULL), ('e.bmp', 11, 12, NULL, NULL, NULL))
+SELECT told.path AS relative_image_path, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, md5(from_hex(hex)) AS md5, sha256(from_hex(hex)) AS sha256,
+  booru_tags, short_caption, style_tags, booru_tags IS NOT NULL AS has_booru_tags, short_caption IS NOT NULL AS has_short_caption, style_tags IS NOT NULL AS has_style_tags
+FROM told JOIN files ON files.path = '/r/' || told.path"""
+)
+def scan_records(spark, sf_dir):
+    found = scan.records(_files(spark, IMAGE_FILES), _files(spark, CAPTION_FILES), "/r")
+    return found.select("relative_image_path", "width", "height", "hashes.*", "caption_sources.*", "caption_presence.*")
+
+
+@query(
+    f"""WITH files(path, hex) AS (VALUES {_values({p: h for p, h in IMAGE_FILES.items() if p.endswith((".bmp", ".GIF"))})})
+SELECT '{{"relativeImagePath":"' || path[4:] || '","width":' || CASE WHEN path LIKE '%bmp' THEN '11,"height":12' ELSE '3,"height":4' END || ',"hashes":{{"md5":"' || md5(from_hex(hex)) || '","sha256":"' || sha256(from_hex(hex))
+  || '"}},"captionSources":{{"booruTags":null,"shortCaption":null,"styleTags":null}},"captionPresence":{{"hasBooruTags":false,"hasShortCaption":false,"hasStyleTags":false}}}}' AS value FROM files"""
+)
+def scan_json_lines(spark, sf_dir):
+    files = _files(spark, {p: h for p, h in IMAGE_FILES.items() if p.endswith((".bmp", ".GIF"))})
+    return sinks.json_lines(scan.records(files, _files(spark, CAPTION_FILES).where("false"), "/r"), ["relative_image_path"])
+
+
+#: Images of the hash query, and the pixel (x, y) of image i in channel c.
+HASHED = 12
+PIXEL = "((x * x * (i + 3) + y * y * 7 + x * y * (c + 5) + (i + 1) * 37 * c) % 251)"
+
+
+@query(
+    f"""WITH xs AS (SELECT unnest(range(32)) AS x), ks AS (SELECT unnest(range(8)) AS k), pic AS (SELECT unnest(range({HASHED})) AS i),
+luma AS (SELECT i, x, y, round(0.0722::DOUBLE * {PIXEL.replace("c", "0")} + 0.7152::DOUBLE * {PIXEL.replace("c", "1")} + 0.2126::DOUBLE * {PIXEL.replace("c", "2")}) AS p
+  FROM pic, xs, (SELECT x AS y FROM xs) AS ys),
+basis AS (SELECT k, x, CASE WHEN k = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END * cos((2 * x + 1) * k * pi() / 64) AS w FROM ks, xs),
+rows_ AS (SELECT i, y, k AS u, sum(p * w) AS r FROM luma JOIN basis USING (x) GROUP BY i, y, k),
+coef AS (SELECT i, 8 * k + u AS bit, sum(r * w) AS f FROM rows_ JOIN basis ON basis.x = rows_.y GROUP BY i, k, u),
+mid AS (SELECT i, median(f) AS m FROM coef WHERE bit > 0 GROUP BY i),
+bits AS (SELECT i, sum(CASE WHEN bit > 0 AND f > m THEN CAST(1 AS HUGEINT) << CAST(bit AS HUGEINT) ELSE 0 END) AS h FROM coef JOIN mid USING (i) GROUP BY i)
+SELECT CAST(i AS BIGINT) AS i, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS phash FROM bits"""
+)
+def image_hashes(spark, sf_dir):
+    """Perceptual hashes of made-up images of 32 by 32 pixels in blue, green and red."""
+    place = lambda n: (F.floor(F.col("at") / n)).cast("int")
+    flat = spark.range(HASHED).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(32 * 32 * 3 - 1))))
+    point = flat.select(F.col("id").alias("i"), "at", (place(3) % 32).alias("x"), place(96).alias("y"), (F.col("at") % 3).alias("c"))
+    told = point.select("i", "at", F.expr(f"lpad(hex({PIXEL}), 2, '0')").alias("h"))
+    raw = told.groupBy("i").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda p: p["h"]), "")).alias("data"))
+    return raw.select("i", images.perceptual_hash(F.lit(32), F.lit(32), F.lit(3), F.col("data")).alias("phash"))
+
+
 QUERIES["metrics_report"] = metrics_report_summary
 ORACLES["metrics_report"] = ORACLES["metrics_report_summary"]

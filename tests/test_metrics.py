@@ -93,3 +93,11 @@ def test_gini_formula(spark):
             area += running / total
         found = metrics.gini(spark.createDataFrame([(str(i), v) for i, v in enumerate(n)], "tag string, n long")).first().gini
         assert found == pytest.approx((len(n) + 1 - 2 * area) / len(n), abs=1e-12)
+
+
+def test_pairs_are_counted_by_row(spark):
+    rows = [(1, ["a", "b"]), (1, ["c", "d"]), (2, ["b", "a", "a"]), (2, ["c", "d"]), (None, ["a", "b"]), (None, ["a", "b"]), (None, None), (3, [None, "a"]), (4, [])]
+    samples = spark.createDataFrame(rows, "sample_id int, tags array<string>")
+    for least in (1, 2, 3, 5):
+        want = {k: n for k, n in {("a", "b"): 4, ("c", "d"): 2}.items() if n >= least}
+        assert {(r.left, r.right): r.c for r in frequency.pair_counts(samples, min_support=least).collect()} == want

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from samphire.functions import images
 from samphire.plans.job import COMPLETED, FAILED, JobRequest, JobRunner
@@ -41,7 +42,7 @@ def test_scan(spark, folder, tmp_path):
     assert (len(rows[0].hashes.md5), len(rows[0].hashes.sha256)) == (32, 64) and not rows[1].caption_presence.has_style_tags
     records = scan.image_records(spark, str(folder))
     assert scan.summarize(records).first().asDict() == {"total_images": 2, "with_booru_tags": 2, "with_short_caption": 2, "with_style_tags": 1, "total_pixels": 7, "by_extension": {".png": 2}}
-    sinks.write_json_lines(records, str(tmp_path / "out"), "relative_image_path")
+    sinks.write_json_lines(records, str(tmp_path / "out"), ["relative_image_path"])
     lines = [json.loads(x) for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
     assert [x["relativeImagePath"] for x in lines] == ["a.png", "b.png"] and lines[1]["captionSources"]["styleTags"] is None
 
@@ -58,11 +59,60 @@ def test_scan_errors(spark, folder, tmp_path):
 
 def test_text_marks_and_names(spark, folder):
     (folder / "sub dir" / "x+y é.PNG").write_bytes(png(np.full((2, 2, 3), 1, np.uint8)))
+    (folder / "50%41 [x].png").write_bytes(png(np.full((2, 2, 3), 1, np.uint8)))
     (folder / "sub dir" / "x+y é.txt").write_bytes("﻿wide".encode("utf-16-le"))
     rows = {r.relative_image_path: r for r in scan.image_records(spark, str(folder)).collect()}
+    assert "50%41 [x].png" in rows
     assert rows["sub dir/x+y é.PNG"].caption_sources.short_caption == "wide"
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        (b"\xff\xfe" + "né😀".encode("utf-16-le"), "né😀"),
+        (b"\xfe\xff" + "né😀".encode("utf-16-be") + b"\x41", "né😀\ufffd"),
+        (b"\xff\xfe" + b"\x3d\xd8a\x00\x00\xdcb\x00", "\ufffda\ufffdb"),
+        (b"\xff\xfe\x00\x00" + "a😀".encode("utf-32-le"), "a😀"),
+        (b"\x00\x00\xfe\xff" + "a😀".encode("utf-32-be") + b"\x00\x11\x00\x00\x00\x00\xd8\x00\x01", "a😀\ufffd\ufffd\ufffd"),
+        (b"\xef\xbb\xbfx\xffy", "x\ufffdy"),
+        (b"", ""),
+    ],
+)
+def test_text_of_any_mark(spark, raw, want):
+    frame = spark.createDataFrame([(bytearray(raw),)], "c binary")
+    assert frame.select(scan.decode_text(F.col("c")).alias("t")).first().t == want
+
+
+def tiff(order, width, height, kind):
+    entry = lambda tag, value: struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
+    body = b"padding!" + struct.pack(order + "H", 3) + entry(254, 0) + entry(256, width) + entry(257, height) + b"\0\0\0\0"
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 16) + body
+
+
+def jpeg(width, height, marker=0xC2):
+    segment = lambda kind, data: b"\xff" + bytes([kind]) + struct.pack(">H", len(data) + 2) + data
+    return b"\xff\xd8" + segment(0xE0, b"JFIF\0" + b"x" * 300) + segment(0xE2, b"\xff\xc0" * 20) + b"\xff" + segment(0xDB, b"q" * 65) + segment(0xC4, b"h" * 30) + segment(marker, struct.pack(">BHHB", 8, height, width, 4) + b"c" * 12) + b"\xff\xda"
+
+
+def test_sizes_from_headers(spark):
+    files = [(jpeg(640, 480), (640, 480)), (jpeg(5, 70, 0xC0), (5, 70)), (jpeg(5, 70, 0xC4), None), (tiff("<", 300, 20, 3), (300, 20)), (tiff(">", 70000, 20, 4), (70000, 20)), (tiff(">", 9, 20, 3), (9, 20)), (b"GIF89a\x05\x00\x06\x00", (5, 6)), (b"\xff\xd8", None), (b"", None)]
+    frame = spark.createDataFrame([(i, bytearray(raw)) for i, (raw, _) in enumerate(files)], "i int, c binary")
+    found = {r.i: r.d for r in frame.select("i", scan.dimensions(F.col("c")).alias("d")).collect()}
+    assert [found[i] and tuple(found[i]) for i in range(len(files))] == [want for _, want in files]
+
+
+def test_lists_of_files(spark, folder, monkeypatch):
+    monkeypatch.chdir(folder)
+    paths = [str(folder / "a.png"), "b.png", "./b.png", " ", None, "sub dir/../a.png"]
+    assert scan.listed_files(spark, paths) == [str(folder / "a.png"), str(folder / "b.png")]
+    assert scan.listed_files(spark, [None, "\t"]) == []
+    with pytest.raises(FileNotFoundError):
+        scan.listed_files(spark, ["none.png"])
+    (folder / "x[1].png").write_bytes((folder / "a.png").read_bytes())
+    prints = images.listed_fingerprints(spark, ["a.png", "b.png", "x[1].png", "a.png"])
+    assert prints.count() == 3 == prints.where("phash IS NOT NULL").count() and prints.select("sha256").distinct().count() == 2
+
+
 def test_hash_kernel():
     luma = np.random.default_rng(1).integers(0, 255, (32, 32)).astype(float)
     c = np.zeros((8, 8))
@@ -96,6 +146,8 @@ def test_job(spark, folder, tmp_path):
     assert metrics["sampleCount"] == 6 and metrics["nearDuplicateRateHook"]["rate"] > 0
     groups = [json.loads(x) for p in (tmp_path / "out/duplicates/exact_groups").glob("part-*") for x in p.read_text().splitlines()]
     assert any({p.rsplit("/", 1)[1] for p in g["paths"]} == {"t1.png", "t1_copy.png"} for g in groups)
+    log = (tmp_path / "out/job.log").read_text()
+    assert "[Information]" in log and "Completed" in log
     assert set(made) >= {"dataset_jsonl", "summary_index", "metrics_json", "metrics_markdown", "recommendations_json", "duplicates_json"}
 
 

@@ -61,7 +61,7 @@ def test_jobs_over_http(url):
     assert (done["state"], done["outputs"], done["error"]) == ("Completed", {"tagMetricsEnabled": False}, None)
     status = ask(url, f"/jobs/{made['jobId']}")[1]
     assert (status["percent"], status["isCancelable"]) == (100, False)
-    assert [x["message"] for x in ask(url, f"/jobs/{made['jobId']}/logs")[1]["logs"]][0] == "Validating request and input paths."
+    assert [x["message"] for x in ask(url, f"/jobs/{made['jobId']}/logs")[1]["logs"]][0] == "checking the request"
     assert ask(url, f"/jobs/{made['jobId']}/cancel", {})[0] == 404
 
 
@@ -72,7 +72,7 @@ def test_cancel_failure_and_unknown(url):
     assert ask(url, f"/jobs/{slow}/cancel", {})[1] == {"jobId": slow, "canceled": True}
     assert finished(url, slow)["state"] == "Canceled"
     bad = ask(url, "/jobs", {"inputDir": "bad", "outputDir": "o"})[1]["jobId"]
-    assert finished(url, bad)["error"] == "FailureType=FileNotFoundError"
+    assert finished(url, bad)["error"] == "FileNotFoundError"
     assert ask(url, "/jobs", {"inputDir": "x"})[0] == 400 and ask(url, "/jobs/00")[0] == 404 and ask(url, "/none")[0] == 404
 
 

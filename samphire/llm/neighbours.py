@@ -5,22 +5,25 @@ one sign bit a dimension, with two scalars: the residual's length and the inner
 product of the unit residual with its own code. From those, the inner product
 with a query is estimated without bias and with a bound on the error; only
 vectors whose upper bound reaches the best found so far are scored exactly.
+
+Index and queries are tables: shards of a cluster meet blocks of queries, and
+only those that can hold a result of theirs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from samphire.llm.common import cut_lineage
 from samphire.shipping import ship
 
-#: Bytes of the query vectors that are broadcast to the tasks at once, on average; more queries go in more blocks.
-QUERY_BYTES = 16 << 20
+#: Vectors of a shard of the index and of a block of queries, on average: what one task holds.
+SHARD_ROWS, BLOCK_ROWS = 8192, 4096
 #: Queries and candidates of one matrix product.
 TILE_QUERIES, TILE_ROWS = 512, 4096
 
@@ -54,17 +57,17 @@ class Codes:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(__id, __vec array<double>) of the vectors that take part, one a vec id.
+    """(__id, __vec array<double>) of the rows that take part: each row is one, whether or not its id repeats.
 
-    Left out: null ids, null and zero vectors, and vectors with a null or non-finite component or of another length
-    than most (ties: the greater length). Of an id's several vectors the greatest counts.
+    Left out: null ids, null and zero vectors, and vectors with a null or non-finite component. Only vectors of one
+    length have inner products: those of another length than most (ties: the greater length) are left out too.
     """
     vec = F.col(f"`{vec_col}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("__id"), vec.alias("__vec")).where("__id IS NOT NULL AND __vec IS NOT NULL")
     sound = F.forall("__vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("__vec", lambda x: x != 0)
     rows = rows.where(sound)
     lengths = rows.groupBy(F.size("__vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("__vec") == (lengths["n"] if lengths else -1)).groupBy("__id").agg(F.max("__vec").alias("__vec"))
+    return rows.where(F.size("__vec") == (lengths["n"] if lengths else -1))
 
 
 def matrix(column: pa.ListArray) -> np.ndarray:
@@ -80,83 +83,95 @@ def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def search_batches(batches: Iterator[pa.RecordBatch], model: Codes, q_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, epsilon: float):
-    """The k best of this task's index rows for each query: (query, id, score) arrays.
+def search(model: Codes, coded: pa.Table, asked: pa.Table, k: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position in ``asked``, position in ``coded``, score): each query's k best of a shard of the index.
 
-    ``floor``: a score that at least k candidates of the query are known to reach.
+    A query's ``floor`` is a score that more than k candidates are known to reach. The k rows of best estimate raise it:
+    they are scored exactly first. Then every row whose upper bound reaches the floor is scored.
     """
-    turned = (queries @ model.rotation.T).astype(np.float32)
-    to_centroid = (model.centroids @ queries.T).astype(np.float32)
-    norm = np.linalg.norm(queries, axis=1).astype(np.float32)
-    floor = floor.copy()
+    all_rows, ids, vectors = coded.column("__row").to_numpy(), coded.column("__id").to_numpy(), matrix(coded.column("__vec").combine_chunks())
+    packed = np.frombuffer(b"".join(coded.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+    cluster, length, own = (coded.column(c).to_numpy() for c in ("cluster", "length", "own"))
+    q_rows, queries, floors = asked.column("__row").to_numpy(), matrix(asked.column("__vec").combine_chunks()), asked.column("floor").to_numpy()
     kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    for batch in batches:
-        all_ids = batch.column("__id").to_numpy()
-        vectors = matrix(batch.column("__vec"))
-        packed = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(all_ids), -1)
-        cluster, length, own = (batch.column(c).to_numpy() for c in ("cluster", "length", "own"))
-        for i in range(0, len(all_ids), TILE_ROWS):
+    for j in range(0, len(queries), TILE_QUERIES):
+        part = queries[j : j + TILE_QUERIES]
+        floor = floors[j : j + TILE_QUERIES].copy()
+        turned = (part @ model.rotation.T).astype(np.float32)
+        near = (model.centroids @ part.T).astype(np.float32)
+        norm = np.linalg.norm(part, axis=1).astype(np.float32)
+        found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for i in range(0, len(ids), TILE_ROWS):
             rows = slice(i, i + TILE_ROWS)
-            signs = np.unpackbits(packed[rows], axis=1, count=model.dim).astype(np.float32) * 2 - 1
             scale = (length[rows] / (own[rows] * np.sqrt(model.dim))).astype(np.float32)
             spread = (length[rows] * np.sqrt(np.maximum(0, 1 - own[rows] ** 2)) / own[rows] * epsilon / np.sqrt(max(1, model.dim - 1))).astype(np.float32)
+            signs = np.unpackbits(packed[rows], axis=1, count=model.dim).astype(np.float32) * 2 - 1
             signs *= scale[:, None]
-            new = []
-            for j in range(0, len(queries), TILE_QUERIES):
-                part = slice(j, j + TILE_QUERIES)
-                upper = signs @ turned[part].T
-                upper += to_centroid[cluster[rows], part]
-                upper += spread[:, None] * norm[None, part]
-                r, q = np.nonzero(upper >= (floor[part] - 1e-5 * (1 + np.abs(floor[part])))[None, :].astype(np.float32))
-                q += j
-                r += i
-                other = all_ids[r] != q_ids[q]
+            about = turned @ signs.T  # a row for each query
+            about += near[cluster[rows]].T
+            first = np.zeros(about.shape, bool)
+            n = min(k, about.shape[1])
+            np.put_along_axis(first, np.argpartition(about, -n, axis=1)[:, -n:] if n < about.shape[1] else np.tile(np.arange(n), (len(part), 1)), True, axis=1)
+            upper = about + norm[:, None] * spread[None, :]
+            for wanted in (first, None):
+                if wanted is None:  # the floor as those of best estimate have raised it
+                    wanted = (upper >= (floor - 1e-5 * (1 + np.abs(floor)))[:, None].astype(np.float32)) & ~first
+                q, r = np.nonzero(wanted)
+                r = r + i
+                other = all_rows[r] != q_rows[j + q]
                 q, r = q[other], r[other]
+                new = []
                 for a in range(0, len(q), 1 << 18):
                     qa, ra = q[a : a + (1 << 18)], r[a : a + (1 << 18)]
-                    score = np.einsum("ij,ij->i", vectors[ra], queries[qa])
+                    score = np.einsum("ij,ij->i", vectors[ra], part[qa])
                     good = score >= floor[qa]
-                    new.append((qa[good], all_ids[ra[good]], score[good]))
-            kept = tuple(np.concatenate([old, *x]) for old, x in zip(kept, zip(*new, strict=True), strict=True)) if new else kept
-            top = best(*kept, k)
-            kept = tuple(x[top] for x in kept)
-            full = np.flatnonzero(np.bincount(kept[0], minlength=len(queries)) == k)
-            worst = np.full(len(queries), np.inf)
-            np.minimum.at(worst, kept[0], kept[2])
-            floor[full] = np.maximum(floor[full], worst[full])
+                    new.append((qa[good], ra[good], score[good]))
+                found = tuple(np.concatenate([old, *x]) for old, x in zip(found, zip(*new, strict=True), strict=True)) if new else found
+                top = best(found[0], ids[found[1]], found[2], k)
+                found = tuple(x[top] for x in found)
+                full = np.flatnonzero(np.bincount(found[0], minlength=len(part)) == k)
+                worst = np.full(len(part), np.inf)
+                np.minimum.at(worst, found[0], found[2])
+                floor[full] = np.maximum(floor[full], worst[full])
+        kept = tuple(np.concatenate([a, b]) for a, b in zip(kept, (found[0] + j, *found[1:]), strict=True))
     return kept
 
 
-def pilot_search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, pa.Table]:
-    """Each query's k nearest of the sample, scored exactly, and the score that the k-th of them reaches."""
-    floor, kept = np.full(len(queries), -np.inf), []
-    for j in range(0, len(queries), TILE_QUERIES):
-        about = queries[j : j + TILE_QUERIES] @ vectors.T
-        about[q_ids[j : j + TILE_QUERIES, None] == ids[None, :]] = -np.inf
-        n = min(k, about.shape[1])
-        near = np.argpartition(about, -n, axis=1)[:, -n:] if n < about.shape[1] else np.tile(np.arange(n), (len(about), 1))
-        q, r = np.repeat(np.arange(len(about)) + j, n), near.ravel()
-        other = q_ids[q] != ids[r]
-        q, r = q[other], r[other]
-        score = np.einsum("ij,ij->i", vectors[r], queries[q])
-        kept.append((q_ids[q], ids[r], score))
-        counts, least = np.bincount(q - j, minlength=len(about)), np.full(len(about), np.inf)
-        np.minimum.at(least, q - j, score)
-        floor[j : j + TILE_QUERIES] = np.where(counts >= k, least, -np.inf)
-    return floor, pa.table([np.concatenate(x) for x in zip(*kept, strict=True)], names=["query_id", "vec_id", "score"])
-
-
-def index(vectors: DataFrame, model: Codes) -> DataFrame:
-    """``usable`` rows with code binary, cluster int, length double and own double: every row, whatever the sample was."""
-    schema = "__id long, __vec array<double>, code binary, cluster int, length double, own double"
+def index(rows: DataFrame, model: Broadcast[Codes]) -> DataFrame:
+    """Rows (__row, __id, __vec) with code binary, cluster int, length double and own double: every row, whatever the sample was."""
+    schema = "__row long, __id long, __vec array<double>, code binary, cluster int, length double, own double"
 
     def run(batches):
         for batch in batches:
-            packed, cluster, length, own = model.encode(matrix(batch.column("__vec"))) if batch.num_rows else (np.empty((0, 1), np.uint8), *[np.empty(0)] * 3)
+            packed, cluster, length, own = model.value.encode(matrix(batch.column("__vec"))) if batch.num_rows else (np.empty((0, 1), np.uint8), *[np.empty(0)] * 3)
             made = [pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(cluster.astype(np.int32)), pa.array(length, pa.float64()), pa.array(own, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["__id", "__vec", "code", "cluster", "length", "own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["__row", "__id", "__vec", "code", "cluster", "length", "own"])
+
+    return rows.mapInArrow(run, schema)
+
 
-    return vectors.mapInArrow(run, schema)
+def aim(queries: DataFrame, model: Broadcast[Codes], pilot: Broadcast[np.ndarray], reach: np.ndarray, k: int) -> DataFrame:
+    """Queries (__row, __id, __vec, block) with floor double and clusters array<int>: those that may hold a result.
+
+    ``floor``: the 2k-th best score of the ``pilot`` vectors, -inf if they are fewer, so more than k candidates reach it.
+    ``reach``: the longest residual of each cluster. A row of a cluster scores no more than the centroid does plus the
+    residual's length times the query's, so clusters below the floor are left out without loss.
+    """
+
+    def run(batches):
+        for batch in batches:
+            queries_ = matrix(batch.column("__vec"))
+            floor, clusters = np.full(len(queries_), -np.inf), []
+            for i in range(0, len(queries_), TILE_QUERIES):
+                part = queries_[i : i + TILE_QUERIES]
+                if len(pilot.value) > 2 * k:  # the query itself may be among them
+                    floor[i : i + TILE_QUERIES] = np.partition(part @ pilot.value.T, -2 * k - 1, axis=1)[:, -2 * k - 1]
+                most = part @ model.value.centroids.T + np.linalg.norm(part, axis=1)[:, None] * reach[None, :]
+                least = floor[i : i + TILE_QUERIES, None]
+                clusters += [np.flatnonzero(x).astype(np.int32) for x in (most >= least - 1e-9 * (1 + np.abs(least))) & (reach >= 0)[None, :]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor), pa.array(clusters, pa.list_(pa.int32()))], names=["__row", "__id", "__vec", "block", "floor", "clusters"])
+
+    return queries.mapInArrow(run, "__row long, __id long, __vec array<double>, block int, floor double, clusters array<int>")
 
 
 def nearest(
@@ -168,43 +183,46 @@ def nearest(
     sample_rows: int = 8192,
     epsilon: float = 2.5,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest others by inner product in double precision.
+    """(query_id, rank, vec_id, score): each query row's k nearest other rows by inner product in double precision.
 
-    ``is_query``: a condition on __id. The model is fitted on at most ``sample_rows`` vectors, those of lowest id hash;
-    the index holds every vector. ``epsilon``: width of the error bound; at 2.5 almost no neighbour is missed; the sample's own k nearest are scored
-    exactly, so that no query has fewer than k results. Ties go
-    to the smaller id. Fewer than k others: all of them. See ``usable`` for the vectors that take no part. Other columns
-    are ignored; an empty table gives no row.
+    ``is_query``: a condition on __id. The model is fitted on at most ``sample_rows`` vectors, those of lowest hash;
+    the index holds every vector. ``epsilon``: width of the error bound; at 2.5 almost no neighbour is missed. Ties go
+    to the smaller id. Fewer than k others: all of them. Rows that repeat an id are candidates, and queries, each for
+    itself. See ``usable`` for the vectors that take no part. Other columns are ignored; an empty table gives no row.
+
+    The index is written once to the shared folder. A cluster's rows are dealt into shards of about SHARD_ROWS and the
+    queries into blocks of about BLOCK_ROWS; a task has one shard and one block, so nothing grows with the table. A query
+    goes to the shards of the clusters that may hold a result of its own.
     """
     spark = ship(vectors.sparkSession)
-    rows = usable(vectors, id_col, vec_col)
-    out = "query_id long, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows).toArrow()
+    rows = cut_lineage(usable(vectors, id_col, vec_col).select(F.monotonically_increasing_id().alias("__row"), "__id", "__vec"))
+    sample = rows.orderBy(F.xxhash64("__id", "__row"), "__row").limit(sample_rows).select("__vec").toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sampled_ids, sampled = sample.column("__id").to_numpy(), matrix(sample.column("__vec").combine_chunks())
-    model = spark.sparkContext.broadcast(Codes(sampled))
-    coded = index(rows, model.value)
+    sampled = matrix(sample.column("__vec").combine_chunks())
+    model, pilot = spark.sparkContext.broadcast(Codes(sampled)), spark.sparkContext.broadcast(sampled)
+    coded = cut_lineage(index(rows, model))
     asked = rows.where(is_query)
-    blocks = max(1, -(-asked.count() * 8 * sampled.shape[1] // QUERY_BYTES))
-    found = None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("__id"), F.lit(blocks)) == b).toArrow()
-        if not block.num_rows:
-            continue
-        q_ids, queries = block.column("__id").to_numpy(), matrix(block.column("__vec").combine_chunks())
-        floor, pilot = pilot_search(q_ids, queries, sampled_ids, sampled, k)
-        sent = spark.sparkContext.broadcast((q_ids, queries, floor))
-
-        def run(batches, sent=sent):
-            ids, q, f = sent.value
-            query, vec, score = search_batches(batches, model.value, ids, q, f, k, epsilon)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-        part = coded.mapInArrow(run, out).unionByName(spark.createDataFrame(pilot))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    told = coded.groupBy("cluster").agg(F.count("*").alias("n"), F.max("length").alias("reach")).collect()  # a row for each centroid
+    reach = np.full(len(model.value.centroids), -np.inf)
+    parts = [1] * len(reach)
+    for row in told:
+        reach[row["cluster"]], parts[row["cluster"]] = row["reach"], -(-row["n"] // SHARD_ROWS)
+    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    of_cluster = F.element_at(F.array(*map(F.lit, parts)), F.col("cluster") + 1)
+    shard = (F.col("cluster"), F.pmod(F.xxhash64("__row"), of_cluster).cast("int").alias("part"))
+    shards = coded.select("*", shard[1], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("__row"), F.lit(blocks)).cast("int"))
+    aimed = aim(dealt, model, pilot, reach, k).withColumn("cluster", F.explode("clusters")).drop("clusters")
+    aimed = aimed.withColumn("part", F.explode(F.sequence(F.lit(0), of_cluster - 1)))
+
+    def run(key, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
+        q, r, score = search(model.value, mine, theirs, k, epsilon)
+        return pa.table([theirs.column("__row").to_numpy()[q], theirs.column("__id").to_numpy()[q], mine.column("__id").to_numpy()[r], score], names=names)
+
+    names, keys = ["query_row", "query_id", "vec_id", "score"], ["block", "cluster", "part"]
+    found = shards.groupBy(*keys).cogroup(aimed.groupBy(*keys)).applyInArrow(run, "query_row long, query_id long, vec_id long, score double")
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,6 +26,11 @@ class Quick(JobRunner):
         self.status.outputs = {"tag_metrics_enabled": request.enable_tag_metrics}
 
 
+@pytest.fixture(autouse=True)
+def elsewhere(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)  # jobs write where they are asked to
+
+
 @pytest.fixture
 def url(spark):
     server = service.serve(spark, make_runner=Quick)

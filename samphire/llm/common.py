@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from samphire.checkpoints import checkpoint_dir, cut_lineage
 from samphire.shipping import ship
 
-__all__ = ["checkpoint_dir", "cut_lineage", "fold", "hash_sample", "map_text", "segments", "slices", "text_chunks"]
+__all__ = ["checkpoint_dir", "cut_lineage", "fold", "hash_sample", "join_classes", "map_text", "segments", "slices", "text_chunks"]
 
 
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -85,6 +85,19 @@ def map_text(
     return wanted.mapInArrow(run, schema)
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, hot: int = 100_000) -> DataFrame:
+    """``rows`` with the columns of their class (key, __rows, ...); ``__rows``: how many rows the class has.
+
+    Classes of ``hot`` rows or more are broadcast, so that none of them is one task's: there is at most one of them for
+    each ``hot`` rows of the table. Null keys have no class.
+    """
+    big, small = (classes.where(F.col("__rows") >= hot), classes.where(F.col("__rows") < hot))
+    held = big.drop("__rows")
+    spread = rows.join(F.broadcast(held), key)  # at most one for each ``hot`` rows
+    others = rows.join(F.broadcast(held.select(key)), key, "left_anti")
+    return spread.unionByName(others.join(small.drop("__rows"), key))
+
+
 def hash_sample(docs: DataFrame, text_col: str, rows: int) -> list[str]:
     """At most ``rows`` distinct whole texts, those of lowest hash: a bounded sample for fitting a model on the driver."""
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text")).where("__text IS NOT NULL")

@@ -66,13 +66,15 @@ def mix(
     ``size``: words of the text, 0 if it is null. ``taken``: words that the mix takes, repeats counted: epochs * size,
     and in the last, partial epoch the whole size below the budget, and of the one document that crosses it the part
     that fits. ``quality`` (id, quality 0 or 1): weights for 0, unknown and 1 are ``quality_weights``; several labels of
-    an id count as the best. Sources without words have target 0. Null ids draw their keys from the text; repeated rows
-    have equal keys and count each. Reruns agree: keys depend on the id and ``seed`` alone. An empty table gives none.
+    an id count as the best. Sources without words have target 0. Null ids draw their keys from the text; rows equal in
+    source, id, key and size take equally many words, so of those that cross the budget each takes its share, rounded
+    down. Reruns agree: keys depend on the id and ``seed`` alone. An empty table gives none. ``carry`` columns may have
+    any name; if it is one of the results', the result has it twice, as a select of both would.
     """
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))))
-    sized = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), (-F.ln(uniform(draw))).alias("__exp"), *carry)
-    sized = cut_lineage(sized)
+    kept = [F.col(f"`{c}`").alias(f"__carry{i}") for i, c in enumerate(carry)]
+    sized = cut_lineage(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__source"), size.alias("__size"), (-F.ln(uniform(draw))).alias("__exp"), *kept))
     if quality is None:
         keyed = sized.withColumn("__key", F.col("__exp") / quality_weights[1])
     else:
@@ -80,22 +82,27 @@ def mix(
         low, none, high = map(float, quality_weights)
         graded = F.when(F.col("__q") > 0, high).when(F.col("__q") <= 0, low).otherwise(none)
         keyed = sized.join(labels, "__id", "left").withColumn("__key", F.col("__exp") / graded)
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
+    totals = sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"), F.count("*").alias("__docs"))
     named = targets(totals.select("source", "source_size"), weights, limit).join(totals.select(F.col("source").alias("__s"), "__docs"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     plan = cut_lineage(named)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.select(F.col("source").alias("__s"), "source_no", "source_size", "target", epochs.alias("__epochs"), F.ceil(F.col("__docs") / BIN_ROWS).alias("__bins"))
-    plan = plan.withColumn("__rest", F.round("target").cast("long") - F.col("__epochs") * F.col("source_size"))
-    joined = keyed.join(plan, F.col("source").eqNullSafe(F.col("__s")))
+    plan = plan.select(F.col("source").alias("__s"), F.col("source_no").alias("__no"), F.col("source_size").alias("__total"), F.col("target").alias("__target"), epochs.alias("__epochs"), F.ceil(F.col("__docs") / BIN_ROWS).alias("__bins"))
+    plan = plan.withColumn("__rest", F.round("__target").cast("long") - F.col("__epochs") * F.col("__total"))
+    joined = keyed.join(plan, F.col("__source").eqNullSafe(F.col("__s")))
     binned = joined.withColumn("__bin", F.least(F.floor((1 - F.exp(-F.col("__key"))) * F.col("__bins")), F.col("__bins") - 1))
-    upto = W.partitionBy("source_no").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    sums = binned.groupBy("source_no", "__bin").agg(F.sum("size").alias("__in_bin"))
-    sums = sums.select(F.col("source_no").alias("__n"), F.col("__bin").alias("__b"), F.coalesce(F.sum("__in_bin").over(upto), F.lit(0)).alias("__before"))
-    within = W.partitionBy("source_no", "__bin").orderBy("__key", "__id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = binned.withColumn("__earlier", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(sums, (F.col("source_no") == F.col("__n")) & (F.col("__bin") == F.col("__b")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__before") - F.col("__earlier")))
-    return placed.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"), *carry)
+    # rows that are equal in all that the order knows are one group: however many, they don't make a bin longer
+    groups = binned.groupBy("__no", "__bin", "__key", "__id", "__size").agg(F.count("*").alias("__rows"), F.max("__rest").alias("__rest")).withColumn("__words", F.col("__size") * F.col("__rows"))
+    upto = W.partitionBy("__no").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    sums = groups.groupBy("__no", "__bin").agg(F.sum("__words").alias("__in_bin"))
+    sums = sums.select("__no", "__bin", F.coalesce(F.sum("__in_bin").over(upto), F.lit(0)).alias("__before"))
+    within = W.partitionBy("__no", "__bin").orderBy("__key", "__id", "__size").rowsBetween(W.unboundedPreceding, -1)
+    placed = groups.withColumn("__earlier", F.coalesce(F.sum("__words").over(within), F.lit(0))).join(sums, ["__no", "__bin"])
+    words = F.greatest(F.lit(0), F.least(F.col("__words"), F.col("__rest") - F.col("__before") - F.col("__earlier")))
+    part = placed.select(F.col("__no").alias("__n"), F.col("__key").alias("__k"), F.col("__id").alias("__i"), F.col("__size").alias("__z"), F.floor(words / F.col("__rows")).cast("long").alias("__part"))
+    same = (F.col("__no") == F.col("__n")) & (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__size") == F.col("__z"))
+    taken = binned.join(part, same)
+    named = [F.col(f"__carry{i}").alias(c) for i, c in enumerate(carry)]
+    return taken.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), (F.col("__epochs") * F.col("__size") + F.col("__part")).cast("long").alias("taken"), *named)
 
 
 #: DuckDB's SQL for ``mix`` over documents and labels with the default parameters.
@@ -121,11 +128,12 @@ plan AS (
          least(cap, coalesce(max(CASE WHEN cap / w >= lev THEN lev END) OVER (), min(lev) OVER ()) * w) AS target FROM leveled),
 budget AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM plan),
+grouped AS (SELECT source, k, doc_id, size, count(*) AS m FROM keyed GROUP BY ALL),
 placed AS (
-  SELECT k.*, b.source_size, b.target, b.epochs, CAST(round(b.target) AS BIGINT) - b.epochs * b.source_size AS rest,
-         coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
-  FROM keyed k JOIN budget b ON k.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target,
-       CAST(epochs * size + greatest(0, least(size, rest - earlier)) AS BIGINT) AS taken
-FROM placed
+  SELECT g.*, b.source_size, b.target, b.epochs, CAST(round(b.target) AS BIGINT) - b.epochs * b.source_size AS rest,
+         coalesce(sum(size * m) OVER (PARTITION BY g.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM grouped g JOIN budget b ON g.source IS NOT DISTINCT FROM b.source)
+SELECT s.doc_id, s.size, source_size, target,
+       CAST(epochs * s.size + floor(greatest(0, least(p.size * m, rest - earlier)) / m) AS BIGINT) AS taken
+FROM keyed s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id AND s.source IS NOT DISTINCT FROM p.source AND s.size = p.size AND s.k = p.k
 """

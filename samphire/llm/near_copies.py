@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from samphire.llm.common import cut_lineage, map_text
-from samphire.llm.simhash import SHARD_ROWS, BkForest, components, label_components, mix, shard_number, shard_runs, shingle_hashes, simhash
+from samphire.llm.common import cut_lineage, join_classes, map_text
+from samphire.llm.simhash import SHARD_ROWS, BkForest, label_components, least_of_components, mix, shard_number, shard_runs, shingle_hashes, simhash
 from samphire.shipping import ship
 
 #: 64-bit words of a fingerprint; bands and min-hashes of each.
@@ -191,23 +191,21 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
 
     ``component_id``: the smallest id of its group of copies and near copies; ``first``: whether it is the one of that
     id (of several such rows: of smallest ``text_hash``, the XXH64 of the text; rows equal in both are first together).
-    Texts link if their sets of ``words``-word shingles (A-Z folded) have the Jaccard ``similarity`` or more. Null and empty texts are copies of each other; texts of fewer words are one
-    shingle, equal or not. Null ids are never a smallest id while another is there; repeated rows give a row each; an
+    Texts link if their sets of ``words``-word shingles (A-Z folded) have the Jaccard ``similarity`` or more. Null and
+    empty texts are copies of each other; texts of fewer words are one shingle, equal or not. Null ids are never a smallest id while another is there; repeated rows give a row each; an
     empty table gives none; other columns are ignored.
     """
     prints = [f"f{i}" for i in range(PARTS)]
     hashed = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__body"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"))
     made = cut_lineage(sketches(hashed, words, ["__id", "text_hash"], "__body"))
     one = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("hash"))
-    nodes = cut_lineage(made.groupBy("node").agg(F.min(one).alias("__least"), *[F.min(c).alias(c) for c in prints], F.min("keys").alias("keys"), F.min("size").alias("size"), F.min("text_hash").alias("__hash")))
-    families = cut_lineage(candidates(nodes.drop("__least", "__hash"), radius_of(similarity), similarity))
-    # one text of each node that has a candidate: its set is made again, so that no sets are kept of the others
-    wanted = families.select("node").distinct().join(nodes.select("node", "__hash"), "node")
-    texts = hashed.select("text_hash", "__body").join(wanted, F.col("text_hash") == F.col("__hash")).groupBy("__hash", "node").agg(F.first("__body").alias("__body"))
-    label = components(links(families, shingle_sets(texts, words), radius_of(similarity), similarity))
-    labelled = nodes.select(F.col("node").alias("__node"), "__least").join(label, F.col("__node") == F.col("node"), "left").select("__node", "__least", F.coalesce("label", "__node").alias("__label"))
-    least = labelled.groupBy("__label").agg(F.min("__least").alias("__first"))
-    classes = labelled.join(least, "__label").select(F.col("__node").alias("node"), "__first")
-    found = made.select("__id", "text_hash", "node").join(classes, "node")
+    nodes = cut_lineage(made.groupBy("node").agg(F.min(one).alias("__least"), F.count("*").alias("__rows"), *[F.min(c).alias(c) for c in prints], F.min("keys").alias("keys"), F.min("size").alias("size")))
+    families = cut_lineage(candidates(nodes.drop("__least", "__rows"), radius_of(similarity), similarity))
+    # the text of each candidate's first document: its set is made again, so that no sets are kept of the others
+    wanted = families.select("node").distinct().join(nodes.select("node", F.col("__least.id").alias("__of"), F.col("__least.hash").alias("__hash")), "node")
+    rows = hashed.join(wanted, (F.col("text_hash") == F.col("__hash")) & F.col("__id").eqNullSafe(F.col("__of")))
+    texts = rows.select("node", "__body").dropDuplicates(["node"])  # rows may repeat an id and its text
+    classes = least_of_components(links(families, shingle_sets(texts, words), radius_of(similarity), similarity), nodes.select("node", "__rows", "__least"), "node")
+    found = join_classes(made.select("__id", "text_hash", "node"), classes, "node")
     first = F.col("__id").eqNullSafe(F.col("__first.id")) & (F.col("text_hash") == F.col("__first.hash"))
     return found.select(F.col("__id").alias(id_col), "text_hash", F.col("__first.id").alias("component_id"), first.alias("first"))

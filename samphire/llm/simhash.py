@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from samphire.llm.common import cut_lineage, map_text
+from samphire.llm.common import cut_lineage, join_classes, map_text
+from samphire.operators.graph import connected_components
 from samphire.shipping import ship
 
 SEED = 42
@@ -213,28 +214,17 @@ def exact_links(prints: DataFrame) -> DataFrame:
     return searched(small).unionByName(searched(large)).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of all nodes in ``links`` (a long, b long): the smallest node (signed) of the component.
+def least_of_components(links: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(``key``, ``__rows``, ``__first``) of ``nodes`` (key, ``__rows``, ``__least``): the smallest ``__least`` that ``links`` (a, b) reach.
 
-    Alternating large-star and small-star steps. Each step is checkpointed in the shared folder, so lineage stays short.
+    Nodes go into the graph with their ``__least`` in front, so that a component's smallest node tells it: no join brings
+    all nodes of a component together.
     """
-    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: the greater neighbours of each node go to its smallest one
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: the smaller neighbours and the node itself go to its smallest one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut_lineage(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    node = F.struct("__least", key)
+    left, right = (nodes.select(F.col(key).alias(side), node.alias(f"{side}_node")) for side in ("a", "b"))
+    ends = links.join(left, "a").join(right, "b").select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
+    found = connected_components(ends).select(F.col(f"node.{key}").alias(key), F.col("component.__least").alias("__reached"))
+    return nodes.join(found, key, "left").select(key, "__rows", F.coalesce("__reached", "__least").alias("__first"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,10 +235,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     take part; they never are a smallest id while another is there. Repeated rows give a row each; an empty table gives
     none; other columns are ignored.
     """
-    prints = cut_lineage(fingerprints(docs, words, id_col, text_col))
-    nodes = prints.groupBy("fingerprint").agg(F.min(id_col).alias("__least"))
-    label = components(exact_links(nodes.select("fingerprint")))
-    labelled = nodes.join(label, nodes["fingerprint"] == label["node"], "left").select("fingerprint", "__least", F.coalesce("label", "fingerprint").alias("__label"))
-    least = labelled.groupBy("__label").agg(F.min("__least").alias("component_id"))
-    classes = labelled.join(least, "__label").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select(id_col, "fingerprint", "component_id")
+    prints = cut_lineage(fingerprints(docs.withColumnRenamed(id_col, "__id"), words, "__id", text_col))
+    least = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))
+    nodes = cut_lineage(prints.groupBy("fingerprint").agg(F.min(least).alias("__least"), F.count("*").alias("__rows")))
+    classes = least_of_components(exact_links(nodes.select("fingerprint")), nodes, "fingerprint")
+    found = join_classes(prints, classes.withColumn("component_id", F.col("__first.id")).drop("__first"), "fingerprint")
+    return found.select(F.col("__id").alias(id_col), "fingerprint", "component_id")

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from samphire.llm import mixing, near_copies, neighbours, packing, queries, simhash
+from samphire.operators.graph import connected_components
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -210,8 +211,8 @@ def test_exact_links(spark, monkeypatch, rows_):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     links = simhash.exact_links(spark.createDataFrame([(v,) for v in signed], "fingerprint long"))
     groups = {}
-    for r in simhash.components(links).collect():
-        groups.setdefault(r.label, set()).add(r.node)
+    for r in connected_components(links, "a", "b").collect():
+        groups.setdefault(r.component, set()).add(r.node)
     want = {}
     for v, k in zip(signed, label, strict=True):
         want.setdefault(k, set()).add(v)
@@ -362,6 +363,19 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(empty(spark), labels).count() == 0
 
 
+def test_mixing_of_equal_rows_and_names(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_ROWS", 4)
+    rows = [(1, "a b c d", "s")] * 50 + [(None, "x y", "s")] * 30 + [(i, "w " * i, "t") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("z")).withColumn("target", F.lit("y")).withColumn("__id", F.lit("q")).withColumn("a b", F.lit(1))
+    found = mixing.mix(docs, carry=["a b", "__id"]).collect()
+    assert len(found) == len(rows) and {(r["a b"], r["__id"]) for r in found} == {(1, "q")}
+    for source, size in (("s", 260), ("t", sum(range(2, 30)))):
+        own = [r for r in found if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 50 and all(r.taken <= 3 * r.size for r in own)
+    assert len({r.taken for r in found if r.doc_id == 1}) == 1
+    assert mixing.mix(docs, carry=["size", "target", "source"]).count() == len(rows)
+
+
 def test_better_documents_come_first(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BIN_ROWS", 16)
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.when(F.col("id") < 1600, "a").otherwise("b").alias("source"))

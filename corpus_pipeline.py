@@ -17,6 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samphire.checkpoints import remove_folder
 from samphire.llm import mixing, near_copies, packing, secret_scan, toxicity
 from samphire.llm.common import checkpoint_dir, fold
 from samphire.shipping import ship
@@ -94,10 +95,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what is between them goes to the shared folder."""
+    """All stages over documents; what is between them goes to the shared folder, where the last stage's rows stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs

@@ -27,3 +27,9 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor and computes ``frame`` once."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from samphire.llm.common import map_text, text_chunks
+from samphire.llm.common import map_text, slices, text_chunks
 from samphire.shipping import ship
 
 #: Buckets of trigrams. A language's table takes eight bytes for each.
@@ -106,17 +106,22 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **settings) -> LanguageModel:
-    """Count the trigrams of every given document with a language. No such document: a model without languages."""
+    """Count the trigrams of every given document with a language. No such document: a model without languages.
+
+    The table of counts has MOST_BYTES at most: of more languages than that holds, those of most documents are learned
+    (ties: by name), and the others are never predicted.
+    """
     ship(docs.sparkSession)
     known = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     most = MOST_BYTES // (8 * BUCKETS)
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().limit(most + 1).collect())
-    if len(languages) > most:
-        raise ValueError(f"more than {most} languages don't fit in {MOST_BYTES} bytes")
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    languages = sorted(r["lang"] for r in common)
+    if len(languages) == most:
+        known = known.where(F.col("lang").isin(languages))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for start, part in text_chunks(texts):
                 own = np.array(langs[start : start + len(part)])

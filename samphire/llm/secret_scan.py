@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from samphire.llm.common import hash_sample, map_text
+from samphire.llm.common import hash_sample, map_text, slices
 from samphire.shipping import ship
 
 #: The base patterns, with the least length of what counts.
@@ -219,7 +219,7 @@ def redact(docs: DataFrame, model: SecretModel, text_col: str = "text", length_c
         return "".join([*out, text[last:]])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(batch.columns)
             old = columns[at].to_pylist()
             new = [masked(t) for t in old]

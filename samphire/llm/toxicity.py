@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from samphire.llm.common import map_text
+from samphire.llm.common import map_text, slices
 from samphire.llm.simhash import mix, shingle_hashes
 from samphire.shipping import ship
 
@@ -26,6 +26,8 @@ TERM = re.compile(r"[^\W_]+")
 BANDS = 20
 #: Distinct terms whose slots a worker keeps.
 KEPT = 200_000
+#: Terms whose pairs are looked at in fitting: those in most texts of the sample.
+PAIR_TERMS = 1024
 
 
 def terms(text: str | None) -> set[str]:
@@ -57,13 +59,18 @@ class FactorizationMachine:
             self.known.update(learned)
         return sorted(found)
 
-    def margin(self, slots: list[int]) -> float:
-        w, v = self.weights[slots], self.factors[slots]
-        return float(self.bias + w.sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum()))
+    def margins(self, rows: list[list[int]]) -> np.ndarray:
+        """Bias, weights and products of the vectors of each row's slots."""
+        flat = np.fromiter((s for row in rows for s in row), np.int64)
+        owner = np.repeat(np.arange(len(rows)), list(map(len, rows)))
+        v = self.factors[flat]
+        z = self.bias + np.bincount(owner, self.weights[flat] - 0.5 * (v**2).sum(axis=1), minlength=len(rows))
+        for f in range(v.shape[1]):
+            z += 0.5 * np.bincount(owner, v[:, f], minlength=len(rows)) ** 2
+        return z
 
-    def score(self, text: str | None) -> float:
-        z = self.margin(self.slots(text))
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margins([self.slots(t) for t in texts]), -500, 500)))
 
 
 def family_keys(text: str | None) -> list[int]:
@@ -111,13 +118,45 @@ def telling(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, least: fl
     return buckets[enough & (np.abs(deviate) > np.sqrt(2 * np.log(max(2, enough.sum()))) + 1)]
 
 
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, least: float = 5, most: int = PAIR_TERMS) -> np.ndarray:
+    """Buckets of pairs whose share of positive texts neither bucket's own share explains, telling by themselves or not.
+
+    The ``most`` buckets of greatest weight are paired. A pair's share must be off both its buckets' shares by more than
+    chance gives the most extreme of all the pairs.
+    """
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    buckets, place = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n = np.bincount(place, weight[owner], minlength=len(buckets))
+    top = np.sort(np.argsort(-n, kind="stable")[:most])
+    top = top[(n[top] >= least) & (n[top] < weight.sum())]
+    if len(top) < 2:
+        return buckets[:0]
+    column = np.full(len(buckets), -1)
+    column[top] = np.arange(len(top))
+    inside = column[place] >= 0
+    held = np.zeros((len(rows), len(top)), np.float32)
+    held[owner[inside], column[place[inside]]] = 1
+    scaled = held * weight.astype(np.float32)[:, None]
+    both = (held.T @ scaled).astype(np.float64)
+    positive = (held.T @ (scaled * y.astype(np.float32)[:, None])).astype(np.float64)
+    share = np.clip((np.diag(positive) + 0.5) / (np.diag(both) + 1), 1e-3, 1 - 1e-3)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        off = np.abs(positive - both * share[:, None]) / np.sqrt(both * (share * (1 - share))[:, None])
+    off = np.where(both >= least, np.minimum(off, off.T), 0)
+    np.fill_diagonal(off, 0)
+    pairs = max(2, int((both >= least).sum() // 2))
+    return buckets[top[(off > np.sqrt(2 * np.log(pairs)) + 1).any(axis=1)]]
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int, rounds: int, rate: float = 0.3, l2: float = 3e-4, seed: int = 5):
     """(buckets, bias, weights, factors) of least logistic loss over the telling buckets, by AdaGrad on all rows at once.
 
-    The penalty ``l2`` is on the factors alone: pairs explain what single terms can't.
+    Buckets tell by themselves or with another one. The penalty ``l2`` is on the factors alone: pairs explain what single
+    terms can't.
     """
     rng = np.random.default_rng(seed)
-    active = telling(rows, y, weight)
+    active = np.union1d(telling(rows, y, weight), telling_pairs(rows, y, weight))
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.searchsorted(active, flat)
@@ -144,16 +183,17 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int, ro
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, rank: int = 4, rounds: int = 1500, seed: int = 5) -> FactorizationMachine:
     """Fit on a bounded sample: the ``sample_rows`` labelled ids of lowest hash, with their whole texts.
 
-    A family of near copies weighs as much as one text, so that one wrong label isn't learned many times. Without labelled rows every text scores 0.
+    A family of near copies weighs as much as one text, so that one wrong label isn't learned many times. Of documents
+    that repeat an id the smallest text counts, of an id's labels the greatest. Without labelled rows every text scores 0.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
     picked = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     wanted = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    joined = wanted.join(F.broadcast(picked), "__id").select("__id", "__y", "__text")  # at most sample_rows rows
+    joined = wanted.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text"))  # at most sample_rows rows
 
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("__text").to_pylist()
             sets = [sorted({bucket(t) for t in terms(x)}) for x in texts]
             keys = pa.array(list(map(family_keys, texts)), pa.list_(pa.int64()))
@@ -181,6 +221,6 @@ def score(docs: DataFrame, model: FactorizationMachine, carry: list[str] | None
     def make():
         # a copy for each task: what it has looked up goes with the task
         learned = FactorizationMachine(np.array(list(model.slot)), model.bias, model.weights, model.factors)
-        return lambda texts: [pa.array([learned.score(t) for t in texts], pa.float64())]
+        return lambda texts: [pa.array(learned.scores(texts), pa.float64())]
 
     return map_text(docs, carry if carry is not None else ["doc_id"], [T.StructField(score_col, T.DoubleType())], make, text_col)

@@ -1,11 +1,14 @@
 """Operators on single texts against plain forms: token counts, media, secrets, licences, languages, toxicity."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import wave
 import zlib
 from io import BytesIO
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -244,13 +247,100 @@ def test_pairs_of_terms():
         y.append(float(a and b))
     y = np.array(y)
     model = toxicity.FactorizationMachine(*toxicity.fit(rows_, y, np.ones(len(y)), 4, 600))
-    margin = lambda *t: model.margin(sorted(model.slot[x] for x in t))
+    margin = lambda *t: model.margins([sorted(model.slot[x] for x in t)])[0]
     assert margin(10, 20) > 0 > max(margin(10), margin(20), margin())
     assert margin(10, 20) - margin(10) - margin(20) + margin() > 0.5
     weights = toxicity.family_weights(np.array([[1, 5], [2, 5], [2, 6], [3, 7]]))
     assert weights.tolist() == [1 / 3] * 3 + [1]
 
 
+def test_exclusive_pairs_are_learned(spark):
+    """One term of two makes a text positive, both or none don't: neither tells by itself."""
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.choices("stone river cloud meadow window garden ladder candle".split(), k=6) + ["alpha"] * a + ["omega"] * b
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(a != b)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels.where("doc_id >= 500"))
+    held = toxicity.score(docs.where("doc_id < 500"), model).join(labels, "doc_id").collect()
+    assert np.mean([(r.score >= 0.5) == r.toxic for r in held]) > 0.95
+
+
+def test_toxicity_scores_are_those_of_the_formula(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, rounds=200)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        own = sorted({model.slot[b] for b in map(toxicity.bucket, toxicity.terms(texts[r.doc_id])) if b in model.slot})
+        z = model.bias + sum(model.weights[i] for i in own)
+        z += sum(model.factors[i] @ model.factors[j] for n, i in enumerate(own) for j in own[:n])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_repeated_ids_in_training(spark):
+    docs = spark.createDataFrame([(1, "some words")] * 40 + [(2, "other words"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, labels, sample_rows=1)).count() == 42
+
+
+def test_language_sets_against_all_subsets():
+    """The nested sets by proportion reach what the best of all sets reaches."""
+    rng = np.random.default_rng(5)
+    table = rng.random((4, languages.BUCKETS)) ** 3
+    model = languages.LanguageModel(["a", "b", "c", "d"], table * 1000, rounds=100)
+    hits = 0
+    for case in range(40):
+        truth = rng.dirichlet(np.ones(4) * 0.4)
+        spots = rng.choice(languages.BUCKETS, 250, replace=False)
+        chance = (table[:, spots] / table[:, spots].sum(axis=1, keepdims=True)).T @ truth
+        count = rng.multinomial(400, chance / chance.sum())
+        like, count = model.table[spots[count > 0]], count[count > 0].astype(float)
+        fine = model.penalty * np.log(count.sum() + 1)
+
+        def worth(chosen, like=like, count=count, fine=fine):
+            allowed = np.zeros((1, 4))
+            allowed[0, list(chosen)] = 1
+            return model.proportions(like, count, np.array([0]), allowed)[1][0] - (len(chosen) - 1) * fine
+
+        best = max(worth(s) for n in range(1, 5) for s in combinations(range(4), n))
+        order = np.argsort(-model.proportions(like, count, np.array([0]), np.ones((1, 4)))[0][0])
+        single = max(worth([i]) for i in range(4))
+        hits += max(single, *(worth(order[:n]) for n in range(2, 5))) >= best - 1e-3 * abs(best)
+    assert hits >= 38
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(languages, "MOST_BYTES", 2 * 8 * languages.BUCKETS)
+    rows_ = [(i, "the quick brown fox", "en") for i in range(5)] + [(i, "le renard brun rapide", "fr") for i in range(4)] + [(i, "der schnelle braune fuchs", "de") for i in range(3)]
+    assert languages.train(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).languages == ["en", "fr"]
+
+
+def test_base_spans_of_all_documents(spark, secrets):
+    scanned = secret_scan.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), secrets).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert sum(len(r.spans) for r in scanned) > 20
+    for r in scanned:
+        assert [(s.start, s.end, s.kind) for s in r.spans if s.kind != "markov"] == plain_base(texts[r.doc_id])
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "thequickbrown "])
+def test_long_runs_merge_as_the_library_says(alphabet):
+    text = "".join(random.Random(2).choices(alphabet, k=20_000))
+    assert packing.load(WORDS).encode([text], 2)[0].tolist() == [*_library(WORDS).encode(text, add_special_tokens=False).ids, 2]
+    assert token_counts.load(BYTES).count([text]) == [len(_library(BYTES).encode(text, add_special_tokens=False).ids)]
+
+
+def test_a_run_of_a_million_letters():
+    text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.perf_counter()
+    assert token_counts.load(BYTES).count([text]) == [len(_library(BYTES).encode(text, add_special_tokens=False).ids)]
+    assert time.perf_counter() - began < 60
+
+
 def test_very_long_texts(monkeypatch):
     """Texts beyond a segment are encoded in parts, with the same tokens."""
     from samphire.llm import common

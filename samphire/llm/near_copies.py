@@ -201,10 +201,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     one = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("text_hash").alias("hash"))
     nodes = cut_lineage(made.groupBy("node").agg(F.min(one).alias("__least"), F.count("*").alias("__rows"), *[F.min(c).alias(c) for c in prints], F.min("keys").alias("keys"), F.min("size").alias("size")))
     families = cut_lineage(candidates(nodes.drop("__least", "__rows"), radius_of(similarity), similarity))
-    # the text of each candidate's first document: its set is made again, so that no sets are kept of the others
-    wanted = families.select("node").distinct().join(nodes.select("node", F.col("__least.id").alias("__of"), F.col("__least.hash").alias("__hash")), "node")
-    rows = hashed.join(wanted, (F.col("text_hash") == F.col("__hash")) & F.col("__id").eqNullSafe(F.col("__of")))
-    texts = rows.select("node", "__body").dropDuplicates(["node"])  # rows may repeat an id and its text
+    # the text of each candidate's first document: its set is made again, so that no sets are kept of the others. Copies
+    # have other ids, so they have other keys too; rows that repeat an id and its text are one, where the join put them
+    key = lambda hash_, id_: F.xxhash64(hash_, id_)
+    wanted = families.select("node").distinct().join(nodes.select("node", F.col("__least.hash").alias("__hash"), key("__least.hash", "__least.id").alias("__key")), "node")
+    rows = hashed.select(key("text_hash", "__id").alias("__key"), "text_hash", "__body").join(wanted, "__key").where("text_hash = __hash")
+    texts = rows.groupBy("__key", "node").agg(F.first("__body").alias("__body")).select("node", "__body")
     classes = least_of_components(links(families, shingle_sets(texts, words), radius_of(similarity), similarity), nodes.select("node", "__rows", "__least"), "node")
     found = join_classes(made.select("__id", "text_hash", "node"), classes, "node")
     first = F.col("__id").eqNullSafe(F.col("__first.id")) & (F.col("text_hash") == F.col("__first.hash"))

@@ -135,11 +135,16 @@ def telling_pairs(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lea
     column = np.full(len(buckets), -1)
     column[top] = np.arange(len(top))
     inside = column[place] >= 0
-    held = np.zeros((len(rows), len(top)), np.float32)
-    held[owner[inside], column[place[inside]]] = 1
-    scaled = held * weight.astype(np.float32)[:, None]
-    both = (held.T @ scaled).astype(np.float64)
-    positive = (held.T @ (scaled * y.astype(np.float32)[:, None])).astype(np.float64)
+    owner, at = owner[inside], column[place[inside]]
+    both, positive = (np.zeros((len(top), len(top))) for _ in range(2))
+    for first in range(0, len(rows), 2000):  # the table of a block of rows, not of all
+        mine = slice(*np.searchsorted(owner, [first, first + 2000]))
+        n_rows = min(2000, len(rows) - first)
+        held = np.zeros((n_rows, len(top)), np.float32)
+        held[owner[mine] - first, at[mine]] = 1
+        scaled = held * weight[first : first + n_rows].astype(np.float32)[:, None]
+        both += held.T @ scaled
+        positive += held.T @ (scaled * y[first : first + n_rows].astype(np.float32)[:, None])
     share = np.clip((np.diag(positive) + 0.5) / (np.diag(both) + 1), 1e-3, 1 - 1e-3)
     with np.errstate(invalid="ignore", divide="ignore"):
         off = np.abs(positive - both * share[:, None]) / np.sqrt(both * (share * (1 - share))[:, None])

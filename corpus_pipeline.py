@@ -22,17 +22,25 @@ from samphire.llm import mixing, near_copies, packing, secret_scan, toxicity
 from samphire.llm.common import checkpoint_dir, fold
 from samphire.shipping import ship
 
+#: Rows of an Arrow batch: they are whole documents, of which a task holds several copies at once.
+BATCH_ROWS = 1000
 #: Documents that score this or more are rejected.
 TOXIC = 0.5
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _ready(spark: SparkSession) -> None:
+    """The workers have the package, and the application's session has short batches."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores below TOXIC; it learns from the labels of four folds in five.
 
     Null and empty texts have the score of the model's bias, far below TOXIC; repeated rows go or stay together.
     """
-    ship(spark)
+    _ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
     model = toxicity.train(docs, labels)
     scored = toxicity.score(docs, model, carry=docs.columns, score_col="__toxicity")
@@ -45,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null, empty and blank texts are one group. A null id stays only where its group has no other. Of rows that repeat an
     id and its text one stays.
     """
-    ship(spark)
+    _ready(spark)
     found = near_copies.near_copies(docs, words=5, similarity=0.8)
     kept = found.where("first").groupBy(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows"))
     same = (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")) & docs["doc_id"].eqNullSafe(F.col("__kept"))
@@ -56,7 +64,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with every secret masked; n_chars follows. Rows without secrets, null texts too, are unchanged."""
-    ship(spark)
+    _ready(spark)
     return secret_scan.redact(docs, secret_scan.train(docs))
 
 
@@ -65,7 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words add nothing to a source and have no row; a null source is a source.
     """
-    ship(spark)
+    _ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text", "source"))
@@ -79,6 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens, lexical neighbours together. Null and empty texts are one end id."""
+    _ready(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

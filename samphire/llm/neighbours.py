@@ -86,8 +86,8 @@ def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nd
 def search(model: Codes, coded: pa.Table, asked: pa.Table, k: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position in ``asked``, position in ``coded``, score): each query's k best of a shard of the index.
 
-    A query's ``floor`` is a score that more than k candidates are known to reach. The k rows of best estimate raise it:
-    they are scored exactly first. Then every row whose upper bound reaches the floor is scored.
+    A query's ``floor`` is a score that more than k candidates are known to reach; k rows found raise it. Every row whose
+    upper bound reaches the floor is scored exactly.
     """
     all_rows, ids, vectors = coded.column("__row").to_numpy(), coded.column("__id").to_numpy(), matrix(coded.column("__vec").combine_chunks())
     packed = np.frombuffer(b"".join(coded.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
@@ -107,32 +107,28 @@ def search(model: Codes, coded: pa.Table, asked: pa.Table, k: int, epsilon: floa
             spread = (length[rows] * np.sqrt(np.maximum(0, 1 - own[rows] ** 2)) / own[rows] * epsilon / np.sqrt(max(1, model.dim - 1))).astype(np.float32)
             signs = np.unpackbits(packed[rows], axis=1, count=model.dim).astype(np.float32) * 2 - 1
             signs *= scale[:, None]
-            about = turned @ signs.T  # a row for each query
-            about += near[cluster[rows]].T
-            first = np.zeros(about.shape, bool)
-            n = min(k, about.shape[1])
-            np.put_along_axis(first, np.argpartition(about, -n, axis=1)[:, -n:] if n < about.shape[1] else np.tile(np.arange(n), (len(part), 1)), True, axis=1)
-            upper = about + norm[:, None] * spread[None, :]
-            for wanted in (first, None):
-                if wanted is None:  # the floor as those of best estimate have raised it
-                    wanted = (upper >= (floor - 1e-5 * (1 + np.abs(floor)))[:, None].astype(np.float32)) & ~first
-                q, r = np.nonzero(wanted)
-                r = r + i
-                other = all_rows[r] != q_rows[j + q]
-                q, r = q[other], r[other]
-                new = []
-                for a in range(0, len(q), 1 << 18):
-                    qa, ra = q[a : a + (1 << 18)], r[a : a + (1 << 18)]
-                    score = np.einsum("ij,ij->i", vectors[ra], part[qa])
-                    good = score >= floor[qa]
-                    new.append((qa[good], ra[good], score[good]))
-                found = tuple(np.concatenate([old, *x]) for old, x in zip(found, zip(*new, strict=True), strict=True)) if new else found
-                top = best(found[0], ids[found[1]], found[2], k)
-                found = tuple(x[top] for x in found)
-                full = np.flatnonzero(np.bincount(found[0], minlength=len(part)) == k)
-                worst = np.full(len(part), np.inf)
-                np.minimum.at(worst, found[0], found[2])
-                floor[full] = np.maximum(floor[full], worst[full])
+            upper = turned @ signs.T  # a row for each query
+            upper += near[cluster[rows]].T
+            upper += norm[:, None] * spread[None, :]
+            q, r = np.nonzero(upper >= (floor - 1e-5 * (1 + np.abs(floor)))[:, None].astype(np.float32))
+            r = r + i
+            other = all_rows[r] != q_rows[j + q]
+            q, r = q[other], r[other]
+            new = []
+            for a in range(0, len(q), 1 << 18):
+                qa, ra = q[a : a + (1 << 18)], r[a : a + (1 << 18)]
+                score = np.einsum("ij,ij->i", vectors[ra], part[qa])
+                good = score >= floor[qa]
+                new.append((qa[good], ra[good], score[good]))
+            if not new:
+                continue
+            found = tuple(np.concatenate([old, *x]) for old, x in zip(found, zip(*new, strict=True), strict=True))
+            top = best(found[0], ids[found[1]], found[2], k)
+            found = tuple(x[top] for x in found)
+            full = np.flatnonzero(np.bincount(found[0], minlength=len(part)) == k)
+            worst = np.full(len(part), np.inf)
+            np.minimum.at(worst, found[0], found[2])
+            floor[full] = np.maximum(floor[full], worst[full])
         kept = tuple(np.concatenate([a, b]) for a, b in zip(kept, (found[0] + j, *found[1:]), strict=True))
     return kept
 

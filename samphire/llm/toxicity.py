@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,21 +102,33 @@ def family_weights(keys: np.ndarray) -> np.ndarray:
     return 1 / np.bincount(head, minlength=len(keys))[head]
 
 
+def row_blocks(rows: list[np.ndarray], size: int = 1000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, their buckets, the row of each bucket in the block): what is made of a block never grows with the sample."""
+    for first in range(0, len(rows), size):
+        part = rows[first : first + size]
+        yield slice(first, first + len(part)), np.concatenate(part), np.repeat(np.arange(len(part)), [len(r) for r in part])
+
+
+def bucket_sums(rows: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """For each bucket, the sum of the ``values`` of the rows that hold it."""
+    sums = np.zeros(BUCKETS)
+    for mine, flat, owner in row_blocks(rows):
+        np.add.at(sums, flat, values[mine][owner])
+    return sums
+
+
 def telling(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, least: float = 5) -> np.ndarray:
     """Buckets whose share of positive texts is off the whole's by more than chance gives the most extreme of them all.
 
     Rows count by ``weight``. The limit is one standard deviation above the expected largest of as many normal deviates
     as there are buckets of weight ``least`` or more, so that rare terms of mislabelled texts stay out.
     """
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    buckets, place = np.unique(flat, return_inverse=True)
-    sizes = [len(r) for r in rows]
-    n = np.bincount(place, np.repeat(weight, sizes), minlength=len(buckets))
-    positive = np.bincount(place, np.repeat(y * weight, sizes), minlength=len(buckets))
+    n, positive = bucket_sums(rows, weight), bucket_sums(rows, y * weight)
+    enough = np.flatnonzero(n >= least)
+    n, positive = n[enough], positive[enough]
     share = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3))
     deviate = (positive - n * share) / np.sqrt(n * share * (1 - share))
-    enough = n >= least
-    return buckets[enough & (np.abs(deviate) > np.sqrt(2 * np.log(max(2, enough.sum()))) + 1)]
+    return enough[np.abs(deviate) > np.sqrt(2 * np.log(max(2, len(enough)))) + 1]
 
 
 def telling_pairs(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, least: float = 5, most: int = PAIR_TERMS) -> np.ndarray:
@@ -124,34 +137,30 @@ def telling_pairs(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lea
     The ``most`` buckets of greatest weight are paired. A pair's share must be off both its buckets' shares by more than
     chance gives the most extreme of all the pairs.
     """
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    buckets, place = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n = np.bincount(place, weight[owner], minlength=len(buckets))
+    n = bucket_sums(rows, weight)
     top = np.sort(np.argsort(-n, kind="stable")[:most])
     top = top[(n[top] >= least) & (n[top] < weight.sum())]
     if len(top) < 2:
-        return buckets[:0]
-    column = np.full(len(buckets), -1)
+        return top[:0]
+    column = np.full(BUCKETS, -1)
     column[top] = np.arange(len(top))
-    inside = column[place] >= 0
-    owner, at = owner[inside], column[place[inside]]
     both, positive = (np.zeros((len(top), len(top))) for _ in range(2))
-    for first in range(0, len(rows), 2000):  # the table of a block of rows, not of all
-        mine = slice(*np.searchsorted(owner, [first, first + 2000]))
-        n_rows = min(2000, len(rows) - first)
-        held = np.zeros((n_rows, len(top)), np.float32)
-        held[owner[mine] - first, at[mine]] = 1
-        scaled = held * weight[first : first + n_rows].astype(np.float32)[:, None]
+    for mine, flat, owner in row_blocks(rows, 2000):
+        at = column[flat]
+        held = np.zeros((mine.stop - mine.start, len(top)), np.float32)
+        held[owner[at >= 0], at[at >= 0]] = 1
+        scaled = held * weight[mine].astype(np.float32)[:, None]
         both += held.T @ scaled
-        positive += held.T @ (scaled * y[first : first + n_rows].astype(np.float32)[:, None])
+        scaled *= y[mine].astype(np.float32)[:, None]
+        positive += held.T @ scaled
     share = np.clip((np.diag(positive) + 0.5) / (np.diag(both) + 1), 1e-3, 1 - 1e-3)
+    positive -= both * share[:, None]
     with np.errstate(invalid="ignore", divide="ignore"):
-        off = np.abs(positive - both * share[:, None]) / np.sqrt(both * (share * (1 - share))[:, None])
+        off = np.abs(positive, out=positive) / np.sqrt(both * (share * (1 - share))[:, None])
     off = np.where(both >= least, np.minimum(off, off.T), 0)
     np.fill_diagonal(off, 0)
     pairs = max(2, int((both >= least).sum() // 2))
-    return buckets[top[(off > np.sqrt(2 * np.log(pairs)) + 1).any(axis=1)]]
+    return top[(off > np.sqrt(2 * np.log(pairs)) + 1).any(axis=1)]
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int, rounds: int, rate: float = 0.3, l2: float = 3e-4, seed: int = 5):
@@ -162,11 +171,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int, ro
     """
     rng = np.random.default_rng(seed)
     active = np.union1d(telling(rows, y, weight), telling_pairs(rows, y, weight))
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.searchsorted(active, flat)
-    inside = np.zeros(len(flat), bool) if not len(active) else active[np.minimum(at, len(active) - 1)] == flat
-    at, owner = at[inside], owner[inside]
+    slot = np.full(BUCKETS, -1)
+    slot[active] = np.arange(len(active))
+    held = []
+    for mine, flat, own in row_blocks(rows):
+        inside = slot[flat] >= 0
+        held.append((slot[flat[inside]], own[inside] + mine.start))
+    at, owner = (np.concatenate(x) for x in zip(*held, strict=True))
     w, v = np.zeros(len(active)), rng.normal(0, 0.05, (len(active), rank))
     base = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3))
     b, gw, gv, gb = float(np.log(base / (1 - base))), np.full(w.shape, 1e-8), np.full(v.shape, 1e-8), 1e-8
@@ -207,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = joined.mapInArrow(hashed, "id string, y int, terms array<int>, keys array<long>").toArrow()
     table = table.sort_by([("id", "ascending"), ("y", "ascending")])
     listed = table.column("terms").combine_chunks()
-    flat, ends = listed.flatten().to_numpy().astype(np.int64), np.cumsum(listed.value_lengths().to_numpy())
+    flat, ends = listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy())
     rows = np.split(flat, ends[:-1]) if len(ends) else []
     y = (table.column("y").to_numpy() > 0).astype(np.float64)
     if not rows:

@@ -23,7 +23,7 @@ from samphire.shipping import ship
 BUCKETS = 1 << 15
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: The model goes to every task; more languages than fit in this many bytes are an error, not a cut.
+#: The model goes to every task; of more languages than fit in this many bytes, those of most documents are learned.
 MOST_BYTES = 256 << 20
 
 

@@ -1,7 +1,7 @@
 """Lexical retrieval packing: documents into sequences of a fixed window, neighbours by BM25 together.
 
-Documents are encoded, sorted by min-hashes of their ids and cut into shards of a
-bounded number of tokens, so that like ones meet. Each shard has an inverted
+Documents are encoded, sorted by weighted min-hashes of their ids and cut into
+shards of a bounded number of tokens, so that like ones meet. Each shard has an inverted
 index of token ids, weighted by the whole corpus's document frequencies. A seed
 document asks it for its nearest unused neighbours, which fill the seed's window;
 the last neighbour is cut where the window ends, and its rest stays in the index.
@@ -49,7 +49,7 @@ MARKS = ("", ".", ",")
 KEPT = 600_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 PIECES_OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("tokens", pa.int64()), ("digest", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.list_(pa.int64()))])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("tokens", pa.int64()), ("digest", pa.int64()), ("turn", pa.int64()), ("counts", pa.list_(pa.int64()))])
 
 
 MARK_OF = np.zeros(256, np.int64)
@@ -345,39 +345,74 @@ def encode_all(words: WordTokenizer, texts: list[str], end_id: int) -> list[np.n
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """A row for each document: doc_id, ids binary, tokens, digest (of the ids), k1, k2; and one a task: counts.
+    """A row for each document: doc_id, ids binary, tokens, digest (of the ids), turn; and one a task: counts.
 
-    ``k1`` and ``k2`` are min-hashes of the document's ids: documents whose sets of ids are alike have equal ones the more
-    often. Further copies of a text in a task get other ones, so that they go elsewhere. ``counts``: for each id, in how
-    many of the task's documents it is.
+    ``turn``: how many copies of the text the task had before. ``counts``: for each id, in how many of the task's documents
+    it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(tokenizer)
         size = max(words.size, end_id + 1)
-        hashes = [mix(np.arange(size, dtype=np.uint64), salt) for salt in (21, 22)]
         counts, copies = np.zeros(size, np.int64), Counter()
         for batch in slices(batches):
             for first, part in text_chunks(batch.column("text").to_pylist(), CHUNK_CHARS):
                 tokens = encode_all(words, part, end_id)
-                starts = np.r_[0, np.cumsum([len(t) for t in tokens])][:-1]
-                flat = np.concatenate(tokens)
-                keys = [np.minimum.reduceat(h[flat], starts) for h in hashes]
                 bodies = [t.astype(width_of(size)).tobytes() for t in tokens]
                 digest = [xxhash.xxh64_intdigest(b) >> 1 for b in bodies]
-                turn = np.zeros(len(tokens), np.uint64)
+                turn = np.zeros(len(tokens), np.int64)
                 for i, d in enumerate(digest):
                     turn[i] = copies[d]
                     copies[d] += 1
-                keys = [np.where(turn > 0, mix(k ^ mix(turn, 23), 24), k).view(np.int64) for k in keys]
                 for t in tokens:
                     counts[np.unique(t)] += 1
-                made = [batch.column("doc_id").slice(first, len(tokens)), bodies, [len(t) for t in tokens], digest, *keys, pa.nulls(len(tokens), ENCODED.field("counts").type)]
+                made = [batch.column("doc_id").slice(first, len(tokens)), bodies, [len(t) for t in tokens], digest, turn, pa.nulls(len(tokens), ENCODED.field("counts").type)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if not isinstance(x, pa.Array) else x for x, f in zip(made, ENCODED, strict=True)], schema=ENCODED)
         told = [pa.nulls(1, f.type) for f in list(ENCODED)[:-1]]
         yield pa.RecordBatch.from_arrays([*told, pa.array([counts], ENCODED.field("counts").type)], schema=ENCODED)
 
-    return docs.mapInArrow(run, "doc_id long, ids binary, tokens long, digest long, k1 long, k2 long, counts array<long>")
+    return docs.mapInArrow(run, "doc_id long, ids binary, tokens long, digest long, turn long, counts array<long>")
+
+
+def corpus_weights(made: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents that hold it, BM25's weight) of each id, over all of ``encoded``."""
+    counts = made.where("counts IS NOT NULL").select(F.posexplode("counts").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary
+    found = np.zeros(max([0, *counts.column("id").to_pylist()]) + 1)
+    found[counts.column("id").to_numpy()] = counts.column("n").to_numpy()
+    return found, np.where(found > 0, np.log((documents - found + 0.5) / (found + 0.5)), 0.0)
+
+
+def min_hash_ranks(found: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """For each of two min-hashes, the place of every id in it: exponential draws, divided by the ids' weights.
+
+    A document's first id is each of its own with a chance in proportion to the weight, and documents agree on it the more
+    often the more weight they share. Ids that find no neighbour (in one document, or without a weight) come last.
+    """
+    ranks = []
+    for salt in (21, 22):
+        draw = ((mix(np.arange(len(weight), dtype=np.uint64), salt) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+        late = np.full(len(weight), np.inf)
+        np.divide(-np.log(draw), weight, out=late, where=(found > 1) & (weight > 0))
+        rank = np.empty(len(weight), np.uint32)
+        rank[np.argsort(late, kind="stable")] = np.arange(len(weight), dtype=np.uint32)
+        ranks.append(rank)
+    return ranks
+
+
+def keyed(held: DataFrame, ranks: list[np.ndarray]) -> DataFrame:
+    """Encoded documents with ``k1`` and ``k2``, the hashes of their first ids. Further copies of a text in a task get
+    other ones, so that they go elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            body, tokens = b"".join(batch.column("ids").to_pylist()), batch.column("tokens").to_numpy()
+            flat = np.frombuffer(body, "<u2" if len(body) == 2 * tokens.sum() else "<u4")
+            turn = batch.column("turn").to_numpy().astype(np.uint64)
+            least = [np.minimum.reduceat(r[flat], np.cumsum(tokens) - tokens).astype(np.uint64) for r in ranks]
+            keys = [np.where(turn > 0, mix(k ^ mix(turn, 23), 24), k).view(np.int64) for k in (mix(x, 26) for x in least)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, keys)], names=["doc_id", "ids", "tokens", "digest", "k1", "k2"])
+
+    return held.select("doc_id", "ids", "tokens", "digest", "turn").mapInArrow(run, "doc_id long, ids binary, tokens long, digest long, k1 long, k2 long")
 
 
 def width_of(size: int) -> str:
@@ -393,8 +428,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, i
     are ignored. ``tokenizer``: path of the file, readable on every machine.
 
     Documents are encoded once and written to the shared folder; terms weigh what their counts over all documents say.
-    They are then sorted by min-hashes of their ids over range partitions and taken as shards of ``shard_tokens`` in that
-    order: like documents meet in a shard, and neither a shard nor a partition grows with the number of like ones. What
+    They are then sorted by min-hashes of their ids, weighted alike, over range partitions and taken as shards of
+    ``shard_tokens`` in that order: like documents meet in a shard, and neither a shard nor a partition grows with the number of like ones. What
     doesn't fill a window goes on to the partition's next shard, and after the last one into sequences of a power of two.
     """
     ship(docs.sparkSession)
@@ -402,10 +437,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, i
     made = cut_lineage(encoded(rows, tokenizer, end_id))
     held = made.where("counts IS NULL").drop("counts")
     told = held.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    counts = made.where("counts IS NOT NULL").select(F.posexplode("counts").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary
-    found = np.zeros(max([0, *counts.column("id").to_pylist()]) + 1)
-    found[counts.column("id").to_numpy()] = counts.column("n").to_numpy()
-    weight = np.where(found > 0, np.log((told["n"] - found + 0.5) / (found + 0.5)), 0.0)
+    found, weight = corpus_weights(made, told["n"])
     mean = max(1.0, told["tokens"] / max(1, told["n"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,4 +478,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, i
 
     keys = ["k1", "k2", "digest", "doc_id"]
     parts = max(1, -(-told["tokens"] // PART_TOKENS))
-    return held.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, SCHEMA)
+    return keyed(held, min_hash_ranks(found, weight)).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, SCHEMA)

@@ -155,11 +155,29 @@ def test_like_documents_meet_in_a_shard(spark):
     """Of each document's best neighbour in the whole corpus, the share that the order by min-hashes puts near it."""
     rng = random.Random(8)
     topics = [["".join(rng.choices("abcdefghijklmnoprstuvw", k=8)) for i in range(60)] for k in range(50)]
-    docs = [(i, " ".join(rng.choices(topics[i % 50], k=80))) for i in range(1000)]
-    made = packing.encoded(spark.createDataFrame(docs, "doc_id long, text string"), WORDS, 2).where("counts IS NULL").orderBy("k1", "k2").collect()
-    place = {r.doc_id: n // 50 for n, r in enumerate(made)}  # 20 shards
-    same = [np.mean([place[j] == place[i] for j in range(i % 50, 1000, 50) if j != i]) for i in range(1000)]
-    assert np.mean(same) > 2 / 20  # 1 in 20 by chance
+    common = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=5)) for _ in range(200)]
+    for filler in (0, 80):  # words of all topics weigh little
+        docs = [(i, " ".join(rng.choices(topics[i % 50], k=80) + rng.choices(common, k=filler))) for i in range(1000)]
+        made = packing.encoded(spark.createDataFrame(docs, "doc_id long, text string"), WORDS, 2).cache()
+        ranks = packing.min_hash_ranks(*packing.corpus_weights(made, 1000))
+        dealt = packing.keyed(made.where("counts IS NULL"), ranks).orderBy("k1", "k2").collect()
+        made.unpersist()
+        place = {r.doc_id: n // 50 for n, r in enumerate(dealt)}  # 20 shards
+        same = [np.mean([place[j] == place[i] for j in range(i % 50, 1000, 50) if j != i]) for i in range(1000)]
+        assert np.mean(same) > 2 / 20  # 1 in 20 by chance
+
+
+def test_first_ids_are_drawn_by_weight():
+    """Two ids with weights 3 and 1: the heavier one comes first three times in four; ids without a neighbour come last."""
+    weight = np.tile([3.0, 1.0], 20_000)
+    found = np.full(40_000, 5.0)
+    found[:100] = 1
+    weight[100:200] = -0.5
+    for rank in packing.min_hash_ranks(found, weight):
+        assert sorted(rank) == list(range(40_000))
+        assert rank[:200].min() > rank[200:].max()
+        pairs = rank[200:].reshape(-1, 2)
+        assert abs((pairs[:, 0] < pairs[:, 1]).mean() - 0.75) < 0.02
 
 
 def brute_components(items, linked):

@@ -30,9 +30,13 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def _ready(spark: SparkSession) -> None:
-    """The workers have the package, and the application's session has short batches."""
+    """The workers have the package; the application's session has short batches and drops a query's shuffle files with it.
+
+    What a later query reads is a checkpoint or a stage's table, so no shuffle outlives its own query.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), limit: float = 3.0) -> DataFrame:
-    """``sources`` (source, source_size long) with weight, target double and source_no int.
+    """``sources`` (source, source_size long, further columns) with weight, target double and source_no int.
 
     Sources by code point, null last, weigh ``weights`` in turn and share the sum of all sizes; no target passes
     ``limit`` times its source's size, and what is over goes to the others by weight. That is one level for the target a
@@ -39,8 +39,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), li
     # the level is that of the first source which doesn't reach its limit; rounding may leave none, then it is the last one's
     chosen = F.max(F.when(holds, F.col("__level"))).over(W.partitionBy())
     last = F.min("__level").over(W.partitionBy())
+    more = [F.col(f"`{c}`") for c in sources.columns if c not in ("source", "source_size")]
     return leveled.select(
-        "source", "source_no", "source_size", "weight", F.least("__cap", F.coalesce(chosen, last) * F.col("weight")).alias("target")
+        "source", "source_no", "source_size", "weight", F.least("__cap", F.coalesce(chosen, last) * F.col("weight")).alias("target"), *more
     )
 
 
@@ -83,8 +84,7 @@ def mix(
         graded = F.when(F.col("__q") > 0, high).when(F.col("__q") <= 0, low).otherwise(none)
         keyed = sized.join(labels, "__id", "left").withColumn("__key", F.col("__exp") / graded)
     totals = sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"), F.count("*").alias("__docs"))
-    named = targets(totals.select("source", "source_size"), weights, limit).join(totals.select(F.col("source").alias("__s"), "__docs"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    plan = cut_lineage(named)
+    plan = cut_lineage(targets(totals, weights, limit))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.select(F.col("source").alias("__s"), F.col("source_no").alias("__no"), F.col("source_size").alias("__total"), F.col("target").alias("__target"), epochs.alias("__epochs"), F.ceil(F.col("__docs") / BIN_ROWS).alias("__bins"))
     plan = plan.withColumn("__rest", F.round("__target").cast("long") - F.col("__epochs") * F.col("__total"))

@@ -197,7 +197,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rank: int, ro
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000, rank: int = 4, rounds: int = 1500, seed: int = 5) -> FactorizationMachine:
-    """Fit on a bounded sample: the ``sample_rows`` labelled ids of lowest hash, with their whole texts.
+    """Fit in one task on a bounded sample: the ``sample_rows`` labelled ids of lowest hash, with their whole texts.
 
     A family of near copies weighs as much as one text, so that one wrong label isn't learned many times. Of documents
     that repeat an id the smallest text counts, of an id's labels the greatest. Without labelled rows every text scores 0.
@@ -215,16 +215,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             keys = pa.array(list(map(family_keys, texts)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.string()), batch.column("__y"), pa.array(sets, pa.list_(pa.int32())), keys], names=["id", "y", "terms", "keys"])
 
-    table = joined.mapInArrow(hashed, "id string, y int, terms array<int>, keys array<long>").toArrow()
-    table = table.sort_by([("id", "ascending"), ("y", "ascending")])
-    listed = table.column("terms").combine_chunks()
-    flat, ends = listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy())
-    rows = np.split(flat, ends[:-1]) if len(ends) else []
-    y = (table.column("y").to_numpy() > 0).astype(np.float64)
-    if not rows:
+    def fitted(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("id", "ascending"), ("y", "ascending")])
+        listed = table.column("terms").combine_chunks()
+        flat, ends = listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy())
+        weight = family_weights(table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS))
+        y = (table.column("y").to_numpy() > 0).astype(np.float64)
+        active, bias, weights, factors = fit(np.split(flat, ends[:-1]), y, weight, rank, rounds, seed=seed)
+        yield pa.RecordBatch.from_pydict({"buckets": [active.astype(np.int64).tobytes()], "bias": [bias], "weights": [weights.tobytes()], "factors": [factors.tobytes()]})
+
+    # one task fits, as all of the bounded sample belongs together: the driver gets the model alone
+    rows = joined.mapInArrow(hashed, "id string, y int, terms array<int>, keys array<long>").repartition(1)
+    model = rows.mapInArrow(fitted, "buckets binary, bias double, weights binary, factors binary").first()
+    if model is None:
         return FactorizationMachine(np.empty(0), -500.0, np.empty(0), np.empty((0, rank)))
-    weight = family_weights(table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS))
-    return FactorizationMachine(*fit(rows, y, weight, rank, rounds, seed=seed))
+    buckets, weights, factors = (np.frombuffer(model[c], kind) for c, kind in (("buckets", np.int64), ("weights", np.float64), ("factors", np.float64)))
+    return FactorizationMachine(buckets, model["bias"], weights, factors.reshape(-1, rank))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, carry: list[str] | None = None, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -372,6 +372,12 @@ def test_targets(spark, seed):
     assert found == pytest.approx(plain_targets(sizes))
 
 
+def test_targets_keep_further_columns(spark):
+    """So no second sum over the documents, and no join of the two, has to tell a source's documents."""
+    found = mixing.targets(spark.createDataFrame([("a", 10, 3), (None, 5, 2)], "source string, source_size long, `docs. of it` long")).collect()
+    assert {r.source: r["docs. of it"] for r in found} == {"a": 3, None: 2}
+
+
 def test_mixing_odd_rows(spark):
     found = mixing.mix(frame(spark), carry=["row"]).collect()
     assert len(found) == len(rows()) and all(0 <= r.taken <= 3 * r.size for r in found)

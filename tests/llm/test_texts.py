@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -287,6 +288,23 @@ def test_repeated_ids_in_training(spark):
     assert toxicity.score(docs, toxicity.train(docs, labels, sample_rows=1)).count() == 42
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch, tmp_path):
+    """The driver's Python holds the model, not the sample and what the fit makes of it."""
+    real, place = toxicity.fit, tmp_path / "process"
+
+    def fit(rows, *args, **kwargs):
+        place.write_text(f"{os.getpid()} {len(rows)}")
+        return real(rows, *args, **kwargs)
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, rounds=50)
+    process, fitted = map(int, place.read_text().split())
+    assert process != os.getpid() and len(model.slot) == len(model.weights) == len(model.factors) > 0
+    known = {r.doc_id for r in labels.where("toxic IS NOT NULL").collect()}
+    assert fitted == len(known & {r.doc_id for r in docs.collect()})  # one task has the whole sample
+
+
 def test_language_sets_against_all_subsets():
     """The nested sets by proportion reach what the best of all sets reaches."""
     rng = np.random.default_rng(5)

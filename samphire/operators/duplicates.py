@@ -5,10 +5,13 @@ Null hashes are never near; null paths are paths like others; repeated rows coun
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +19,13 @@ from samphire.checkpoints import cut_lineage
 from samphire.config import DuplicateOptions
 from samphire.operators.graph import connected_components
 from samphire.operators.numbering import numbered
+from samphire.shipping import ship
 
 BITS = 64
-#: Values of a chunk that a hash may look up, at most: what is spent on a lookup and on a candidate, in the same unit.
-MOST_MASKS, LOOKUP_COST, CANDIDATE_COST = 2000, 20.0, 1.0
+#: Values of a chunk that are looked up from one value, at most; the cost of a lookup, in candidates.
+MOST_MASKS, LOOKUP_COST = 2000, 100.0
+#: Hashes of a shard, about; those of one part of a shard, at most on average; comparisons in one step; links in a batch.
+SHARD, PART, BLOCK, BATCH = 1 << 16, 1 << 18, 1 << 17, 1 << 16
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -59,35 +65,132 @@ def chunking(radius: int, rows: int) -> tuple[tuple[int, int, int], ...]:
         masks = [sum(comb(w, k) for k in range(min(w, r) + 1)) for w, r in zip(widths, radii, strict=True)]
         if max(masks) > MOST_MASKS:
             continue
-        cost = sum(m * (LOOKUP_COST + CANDIDATE_COST * rows / 2**w) for m, w in zip(masks, widths, strict=True))
+        # values look up values, hashes meet hashes
+        cost = sum(m * (LOOKUP_COST * min(rows, 2**w) + rows * rows / 2**w) for m, w in zip(masks, widths, strict=True))
         if best is None or cost < best:
             best, found = cost, tuple((sum(widths[:i]), w, r) for i, (w, r) in enumerate(zip(widths, radii, strict=True)))
     return found
 
 
+def masks_within(bits: int, radius: int) -> list[int]:
+    """Numbers of ``bits`` bits of which ``radius`` at most are set."""
+    return [sum(1 << b for b in on) for k in range(min(bits, radius) + 1) for on in combinations(range(bits), k)]
+
+
+def links_of_shard(own: np.ndarray, others: np.ndarray, chunk: int, chunks: tuple[tuple[int, int, int], ...], radius: int, low: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash of ``own``, greater one of ``others``, distance) within the radius that ``chunk`` is the first to find.
+
+    ``own`` has one shard's hashes, equal but for the ``low`` lower bits of the chunk; ``others`` those of it and of the
+    near shards. Greater is by the chunk's value, then by the hash. Hashes of equal value are compared together.
+    """
+    at, bits, near = chunks[chunk]
+    u = np.uint64
+    value = lambda x: (x >> u(at)) & u((1 << bits) - 1)
+    own, others = own[np.lexsort((own, value(own)))], others[np.argsort(value(others))]
+    values, first = np.unique(value(others), return_index=True)
+    first = np.r_[first, len(others)]
+    heads, start = np.unique(value(own), return_index=True)
+    shards = np.unique(values >> u(low))
+    apart = np.bitwise_count(shards ^ (heads[0] >> u(low))).tolist()
+    lower = [np.array(masks_within(low, near - k), u) for k in range(near + 1)]
+    wanted = np.concatenate([(s << u(low)) | lower[k] for s, k in zip(shards, apart, strict=True) if k <= near])
+    for v, group in zip(heads, np.split(own, start[1:]), strict=True):
+        asked = wanted ^ (v & u((1 << low) - 1))
+        asked = asked[asked >= v]
+        place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+        place = place[values[place] == asked]
+        size = first[place + 1] - first[place]
+        end = np.cumsum(size)
+        met = others[np.repeat(first[place] - (end - size), size) + np.arange(end[-1])]  # v itself is among them
+        step = max(1, BLOCK // len(met))
+        for i in range(0, len(group), step):
+            distance = np.bitwise_count(group[i : i + step, None] ^ met)
+            row, column = np.divmod(np.flatnonzero(distance <= radius), len(met))
+            a, b, d = group[i + row], met[column], distance[row, column]
+            keep = (value(b) != v) | (b > a)
+            for before, wide, most in chunks[:chunk]:
+                keep &= np.bitwise_count(((a ^ b) >> u(before)) & u((1 << wide) - 1)) > most
+            if keep.any():
+                yield a[keep], b[keep], d[keep]
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, hashes, which of them are its own) from sorted batches (shard, phash, own)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now = None
+    for batch in batches:
+        shard, phash, own = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            if held and shard[lo] != now:
+                yield (now, *map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            now = int(shard[lo])
+            held.append((phash[lo:hi].view(np.uint64), own[lo:hi]))
+    if held:
+        yield (now, *map(np.concatenate, zip(*held, strict=True)))
+
+
 def near_hashes(fingerprints: DataFrame, radius: int) -> DataFrame:
     """(a, b, distance) of distinct hashes a < b within the radius, by multi-index hashing.
 
-    Each hash lies in a shard for each of its chunks (``chunking``) and looks up the values of a chunk that are near; of
-    a pair the one with the smaller value looks. Both sides are sorted by (chunk, value) and merged, neither is
-    broadcast; the distance is a condition of that join, so candidates aren't written anywhere. A value that very many
-    hashes share is split by adaptive execution.
+    A chunk's value (``chunking``) tells by its upper bits in which shard a hash lies, some 65,536 hashes in each. A hash
+    goes to its own shards and to those whose upper bits are near, not to each near value: these are looked up within
+    the shard's task, in arrays. So a hash is sent some tens of times, a number that grows with the logarithm of the
+    table. A shard of very many hashes is dealt into parts, each of which meets all that the shard meets.
     """
     if not 0 <= radius < BITS:
         raise ValueError("a radius from 0 to 63 is expected")
+    ship(fingerprints.sparkSession)
     hashes = cut_lineage(fingerprints.where("phash IS NOT NULL").select("phash").distinct())
-    chunks = chunking(radius, 1 << max(10, hashes.count().bit_length()))
-    value = lambda at, bits: F.shiftrightunsigned("phash", at).bitwiseAND(F.lit((1 << bits) - 1 if bits < BITS else -1))
-    shards = hashes.select("phash", F.explode(F.array(*[F.struct(F.lit(i).alias("chunk"), value(at, bits).alias("value")) for i, (at, bits, _) in enumerate(chunks)])).alias("c"))
-    shards = shards.select("phash", "c.chunk", "c.value")
-    lists = F.array(*[F.array(*[F.lit(sum(1 << b for b in on)).cast("long") for k in range(min(bits, own) + 1) for on in combinations(range(bits), k)]) for _, bits, own in chunks])
-    looked = shards.withColumn("mask", F.explode(F.element_at(lists, F.col("chunk") + 1)))
-    near = F.col("value").bitwiseXOR(F.col("mask"))
-    probes = looked.where(near >= F.col("value")).select(F.col("phash").alias("p"), "chunk", near.alias("value"), "mask")
-    apart = hamming(F.col("p"), F.col("q"))
-    met = probes.join(shards.withColumnRenamed("phash", "q").hint("merge"), ["chunk", "value"])
-    found = met.where((apart <= radius) & ((F.col("mask") != 0) & (F.col("p") != F.col("q")) | (F.col("p") < F.col("q"))))
-    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), apart.alias("distance")).distinct()
+    rows = hashes.count()
+    chunks = chunking(radius, 1 << max(10, rows.bit_length()))
+    upper = [min(bits, 24, max(0, (rows - 1) // SHARD).bit_length()) for _, bits, _ in chunks]
+    lows = [bits - up for (_, bits, _), up in zip(chunks, upper, strict=True)]
+    # the sign bit is masked off after the shift
+    high = lambda i: F.shiftrightunsigned("phash", chunks[i][0] + lows[i]).bitwiseAND((1 << upper[i]) - 1) if upper[i] else F.lit(0).cast("long")
+    numbers = F.array(*[F.struct(F.lit(i).alias("chunk"), high(i).alias("high")) for i in range(len(chunks))])
+    placed = hashes.select("phash", F.explode(numbers).alias("c")).select("phash", "c.chunk", "c.high")
+    large = placed.groupBy("chunk", "high").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    dealt = {(r["chunk"] << 24) + r["high"]: -(-r["n"] // PART) for r in large.collect()}  # chunks * rows / PART at most
+    lists = F.array(*[F.array(*[F.lit(m).cast("long") for m in masks_within(up, near)]) for up, (_, _, near) in zip(upper, chunks, strict=True)])
+    sent = placed.withColumn("mask", F.explode(F.element_at(lists, F.col("chunk") + 1)))
+    to = F.col("high").bitwiseXOR(F.col("mask"))
+    sent = sent.where(to <= F.col("high")).select("phash", (F.col("mask") == 0).alias("own"), (F.shiftleft(F.col("chunk").cast("long"), 24) + to).alias("to"))
+    if dealt:
+        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in dealt.items() for x in pair]), F.col("to")), F.lit(1).cast("long"))
+        sent = sent.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        sent = sent.select("phash", (F.col("own") & (F.pmod(F.xxhash64("phash"), F.col("parts")) == F.col("part"))).alias("own"), (F.shiftleft("to", 16) + F.col("part")).alias("shard"))
+    else:
+        sent = sent.select("phash", "own", F.shiftleft("to", 16).alias("shard"))
+
+    def run(batches):
+        fields = ("a", "b", "distance")
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def batch() -> pa.RecordBatch:
+            a, b, d = map(np.concatenate, zip(*held, strict=True))
+            a, b = a.view(np.int64), b.view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], fields)
+
+        size = 0
+        for shard, phash, own in _whole_shards(batches):
+            if not own.any():
+                continue
+            i = shard >> 40
+            for found in links_of_shard(phash[own], phash, i, chunks, radius, lows[i]):
+                held.append(found)
+                size += len(found[0])
+                if size >= BATCH:
+                    yield batch()
+                    held, size = [], 0
+        if held:
+            yield batch()
+
+    tasks = sum(1 << up for up in upper) + sum(dealt.values())
+    return sent.select("shard", "phash", "own").repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long, distance int")
 
 
 def classes(fingerprints: DataFrame) -> DataFrame:

@@ -74,6 +74,21 @@ def test_near_hashes_lose_nothing(spark):
     assert found == want
 
 
+def test_shards_and_their_parts_lose_nothing(spark, monkeypatch):
+    """Hashes go to shards of upper bits, not to each near value; a shard of very many hashes is dealt."""
+    monkeypatch.setattr(duplicates, "SHARD", 64)
+    monkeypatch.setattr(duplicates, "PART", 50)
+    monkeypatch.setattr(duplicates, "BATCH", 100)
+    rng = random.Random(5)
+    # a third has few bits, so that they share shards; some are negative as signed numbers
+    hashes = [rng.getrandbits(64) for _ in range(300)] + [sum(1 << b for b in rng.sample(range(64), 5)) for _ in range(300)]
+    hashes = list({(h ^ 1 << rng.randrange(64) if rng.random() < 0.5 else h) - (1 << 63) for h in hashes for _ in range(2)})
+    frame = spark.createDataFrame([(h,) for h in hashes + hashes[:9] + [None]], "phash long")
+    want = {(min(a, b), max(a, b), d) for i, a in enumerate(hashes) for b in hashes[:i] if (d := bin((a ^ b) & (1 << 64) - 1).count("1")) <= 9}
+    got = [tuple(r) for r in duplicates.near_hashes(frame, 9).collect()]
+    assert len(want) > 1000 and len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_classes_say_what_pairs_say(spark, seed):
     rng = random.Random(seed)

@@ -31,25 +31,30 @@ def probabilities(frequency: DataFrame) -> DataFrame:
     return frequency.crossJoin(F.broadcast(total)).select("tag", "n", (F.col("n") / F.col("__total")).alias("p"))  # one row
 
 
+#: Tags of a sample up to which all its pairs are made: that is linear in tags, and cheaper than to look each tag up.
+SHORT = 64
+
+
 def pairs(samples: DataFrame, tags_col: str = "tags", frequent: DataFrame | None = None) -> DataFrame:
     """(left, right, times) of each sample's distinct tags in order, made within the sample; null tags make none.
 
-    ``frequent`` (tag): tags outside it make no pair. A pair's support is no more than either tag's, so tags below the
-    least support can go first; that keeps samples with very many rare tags from making their square in pairs. A sample
-    is a row, whatever its id: rows with equal sets of tags are one group that counts ``times``.
+    ``frequent`` (tag): in samples of more than ``SHORT`` tags those outside it make no pair. A pair's support is no more
+    than either tag's, so tags below the least support can go first; that keeps samples with very many rare tags from
+    making their square in pairs. Shorter samples make all theirs where they lie, no tag of them is shuffled. A sample is
+    a row, whatever its id: of the long ones rows with equal sets of tags are one group that counts ``times``.
     """
     distinct = F.array_sort(F.array_compact(F.array_distinct(tags_col)))
-    if frequent is None:
-        listed = samples.select(distinct.alias("t"), F.lit(1).cast("long").alias("times"))
-    else:
-        rows = samples.select(distinct.alias("t")).where(F.size("t") > 1)
-        rows = rows.select(F.sha2(F.to_json("t").cast("binary"), 256).alias("row"), F.explode("t").alias("tag"))
-        kept = rows.join(frequent.select("tag"), "tag", "left_semi")
-        # equal rows repeat each of their tags equally often
-        held = F.collect_set("tag")
-        listed = kept.groupBy("row").agg(F.array_sort(held).alias("t"), (F.count("*") / F.size(held)).cast("long").alias("times"))
+    rows = samples.select(distinct.alias("t"))
     made = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("left"), y.alias("right")))))
-    return listed.select(F.explode(made).alias("pair"), "times").select("pair.left", "pair.right", "times")
+    listed = lambda frame, times: frame.select(F.explode(made).alias("pair"), times.alias("times")).select("pair.left", "pair.right", "times")
+    if frequent is None:
+        return listed(rows, F.lit(1).cast("long"))
+    long = rows.where(F.size("t") > SHORT).select(F.sha2(F.to_json("t").cast("binary"), 256).alias("row"), F.explode("t").alias("tag"))
+    kept = long.join(frequent.select("tag"), "tag", "left_semi")
+    # equal rows repeat each of their tags equally often
+    held = F.collect_set("tag")
+    groups = kept.groupBy("row").agg(F.array_sort(held).alias("t"), (F.count("*") / F.size(held)).cast("long").alias("times"))
+    return listed(rows.where(F.size("t") <= SHORT), F.lit(1).cast("long")).unionByName(listed(groups, F.col("times")))
 
 
 def pair_counts(samples: DataFrame, tags_col: str = "tags", min_support: int = 1, documents: DataFrame | None = None) -> DataFrame:

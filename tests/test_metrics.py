@@ -1,4 +1,7 @@
 import math
+import random
+from collections import Counter
+from itertools import combinations
 
 import pytest
 
@@ -101,3 +104,15 @@ def test_pairs_are_counted_by_row(spark):
     for least in (1, 2, 3, 5):
         want = {k: n for k, n in {("a", "b"): 4, ("c", "d"): 2}.items() if n >= least}
         assert {(r.left, r.right): r.c for r in frequency.pair_counts(samples, min_support=least).collect()} == want
+
+
+def test_short_samples_make_pairs_where_they_lie(spark, monkeypatch):
+    """Only tags of samples of more than SHORT tags are looked up; both kinds count together."""
+    monkeypatch.setattr(frequency, "SHORT", 4)
+    rng = random.Random(3)
+    rows = [(i % 3 or None, rng.choices([*"abcdefghijklmnop", None], k=rng.randint(0, 9))) for i in range(120)]
+    samples = spark.createDataFrame([*rows, *rows[:20], (1, None)], "sample_id int, tags array<string>")
+    all_rows = [*rows, *rows[:20]]
+    want = Counter(p for _, tags in all_rows for p in combinations(sorted({t for t in tags if t is not None}), 2))
+    for least in (1, 2, 7):
+        assert {(r.left, r.right): r.c for r in frequency.pair_counts(samples, min_support=least).collect()} == {p: c for p, c in want.items() if c >= least}
